@@ -91,7 +91,7 @@ def _removed(width: int, buckets: int, id_col: str, text_col: str, keep: tuple[s
     return remove
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, keep: tuple[str, ...] = (), chunk_bytes: int = 16 << 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, keep: tuple[str, ...] = (), chunk_bytes: int = 8 << 20) -> DataFrame:
     """Removes each word that a window of `width` words covers whose word sequence also starts earlier.
 
     Earlier: in a document with a smaller id, or in the same one further left. Windows are judged on the input. Returns a

@@ -311,7 +311,7 @@ def _cut(length: int, buckets: int, id_col: str, text_col: str, keep: tuple[str,
     return cut
 
 
-def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, keep: tuple[str, ...] = (), chunk_bytes: int = 16 << 20) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, keep: tuple[str, ...] = (), chunk_bytes: int = 8 << 20) -> DataFrame:
     """Removes each byte that a string of `length` bytes covers which also starts anywhere else, in any document.
 
     Matches don't cross documents; overlapping ones count; strings are judged on the input. Returns a row for each input
