@@ -8,8 +8,7 @@ A suffix array of all text can't be shared out, so strings meet by content first
 2. Chunks send (anchor, segment) hashes, a distinct pair once a chunk, to buckets. A group with one segment, seen once,
    repeats nothing. One segment seen more often is a repeat as a whole, a tree of one interval. Only groups of several
    distinct segments need their bytes: a chunk is asked to send each once.
-3. Buckets build an enhanced suffix array (prefix doubling, common prefixes from the ranks), scan its intervals with a
-   stack, and report those whose occurrences differ in the byte to their left.
+3. Buckets build an enhanced suffix array, scan its intervals with a stack, and report those whose occurrences differ in the byte to their left.
 4. Chunks read their texts again from the same exchange and remove what the repeats cover.
 """
 
@@ -68,44 +67,54 @@ def segments(s: Slice, length: int) -> dict[str, np.ndarray]:
     return {"start": edge, "end": end, "text": np.searchsorted(s.offsets, edge, side="right") - 1, "anchor": gram[a], "segment": whole}
 
 
-def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffixes in order, each cut at the end of its string, and the ranks by the first 8, 16, 32 .. bytes.
+class SuffixArray:
+    """The enhanced suffix array of strings, as far as common prefixes of `length` bytes or more need it.
 
-    data: strings in a row, with 8 bytes of padding; ends: for every byte, where its string ends.
+    A suffix whose first `length` bytes no other suffix has is in no such interval, so it is left out; hashes of these
+    prefixes bring the others together, and each bunch is sorted by what follows. order: starts of the suffixes; prefix:
+    the common prefix of each with the one before it, 0 where a bunch begins.
     """
-    n = len(ends)
-    left = ends - np.arange(n)
-    word = np.ndarray((n,), ">u8", buffer=data.tobytes(), strides=(1,)).astype(np.uint64)
-    cut = np.minimum(left, 8).astype(np.uint64)
-    word &= np.array([0] + [(2**64 - 1) ^ ((1 << (64 - 8 * i)) - 1) for i in range(1, 9)], np.uint64)[cut.astype(int)]
-    _, rank = np.unique(word, return_inverse=True)
-    _, rank = np.unique(rank.astype(np.int64) * 16 + cut.astype(np.int64), return_inverse=True)
-    ranks, size = [rank.astype(np.int32)], 8
-    while size < left.max(initial=0):
-        beyond = np.zeros(n, np.int64)
-        has = np.flatnonzero(left > size)
-        beyond[has] = rank[has + size] + 1
-        _, rank = np.unique(rank.astype(np.int64) * (n + 2) + beyond, return_inverse=True)
-        ranks.append(rank.astype(np.int32))
-        size *= 2
-    return np.argsort(rank, kind="stable"), ranks
-
-
-def common_prefixes(order: np.ndarray, ranks: list[np.ndarray], data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The length of the common prefix of each suffix and the one before it in order; 0 for the first."""
-    a, b = order[:-1].copy(), order[1:].copy()
-    most = np.minimum(ends[a] - a, ends[b] - b)
-    got = np.zeros(len(a), np.int64)
-    for k in range(len(ranks) - 1, -1, -1):
-        size = 8 << k
-        for _ in range(2 if k == len(ranks) - 1 else 1):
-            can = np.flatnonzero(got + size <= most)
-            same = can[ranks[k][a[can] + got[can]] == ranks[k][b[can] + got[can]]]
-            got[same] += size
-    for _ in range(8):
-        can = np.flatnonzero(got < most)
-        got[can[data[a[can] + got[can]] == data[b[can] + got[can]]]] += 1
-    return np.concatenate(([0], got))
+
+    def __init__(self, strings: list[bytes], length: int):
+        sizes = np.array([len(x) for x in strings], np.int64)
+        raw = b"".join(strings)
+        data = np.frombuffer(raw, np.uint8)
+        self.begin = np.cumsum(sizes) - sizes
+        ends = np.repeat(self.begin + sizes, sizes)
+        self.string = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        power, self.inverse = powers(len(data) + 1)
+        self.total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)])))
+        starts = np.flatnonzero(np.arange(len(data)) + length <= ends)
+        head = self._hash(starts, length)
+        by = np.argsort(head, kind="stable")
+        head, starts = head[by], starts[by]
+        same = head[1:] == head[:-1]
+        shared = np.append(same, False) | np.insert(same, 0, False)
+        head, starts = head[shared], starts[shared]
+        new = np.insert(head[1:] != head[:-1], 0, True)[: len(starts)]
+        first = np.append(np.flatnonzero(new), len(starts)).tolist()
+        places, stops = starts.tolist(), ends[starts].tolist()
+        stop_of = dict(zip(places, stops))
+        order: list[int] = []
+        for i, j in zip(first[:-1], first[1:]):
+            bunch = places[i:j]
+            bunch.sort(key=lambda p: raw[p + length : stop_of[p]])
+            order += bunch
+        self.order = np.array(order, np.int64)
+        self.prefix = np.zeros(len(order), np.int64)
+        pair = np.flatnonzero(~new)
+        x, y = self.order[pair - 1], self.order[pair]
+        low, high = np.full(len(pair), length), np.minimum(ends[x] - x, ends[y] - y)
+        while (low < high).any():  # the longest common prefix by halving, on hashes
+            mid = (low + high + 1) // 2
+            equal = self._hash(x, mid) == self._hash(y, mid)
+            low, high = np.where(equal, mid, low), np.where(equal, high, mid - 1)
+        self.prefix[pair] = low
+        self.before = np.concatenate(([0], data[:-1])).astype(np.int64) if len(data) else np.zeros(0, np.int64)
+        self.before[self.begin[sizes > 0]] = -1 - np.flatnonzero(sizes > 0)
+
+    def _hash(self, at: np.ndarray, size) -> np.ndarray:
+        return mix((self.total[at + size] - self.total[at]) * self.inverse[at])
 
 
 def maximal_repeats(order: np.ndarray, prefix: np.ndarray, before: np.ndarray, length: int):
@@ -139,19 +148,11 @@ def maximal_repeats(order: np.ndarray, prefix: np.ndarray, before: np.ndarray, l
 
 
 def repeats_in(strings: list[bytes], length: int):
-    """[(common length, [(string, position), ..])] of the maximal repeats over the strings."""
-    sizes = np.array([len(x) for x in strings], np.int64)
-    data = np.frombuffer(b"".join(strings) + b"\0" * 8, np.uint8)
-    begin = np.cumsum(sizes) - sizes
-    ends = np.repeat(begin + sizes, sizes)
-    order, ranks = suffix_array(data, ends)
-    prefix = common_prefixes(order, ranks, data, ends)
-    before = np.concatenate(([0], data[: len(ends) - 1])).astype(np.int64)
-    before[begin] = -1 - np.arange(len(begin))
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    for common, first, last in maximal_repeats(order, prefix, before, length):
-        at = order[first : last + 1]
-        yield common, of[at], at - begin[of[at]]
+    """(common length, strings, positions) of the maximal repeats of `length` bytes or more, with all occurrences."""
+    a = SuffixArray(strings, length)
+    for common, first, last in maximal_repeats(a.order, a.prefix, a.before, length):
+        at = a.order[first : last + 1]
+        yield common, a.string[at], at - a.begin[a.string[at]]
 
 
 _PAIR = np.dtype([("a", "<u8"), ("s", "<u8"), ("many", "u1")])
@@ -241,7 +242,7 @@ def _asked(length: int, buckets: int, id_col: str, text_col: str):
     return ask
 
 
-def _scanned(length: int, most: int = 1 << 20):
+def _scanned(length: int, most: int = 1 << 19):
     """Covered intervals of each asked segment, from the maximal repeats of its anchor's group."""
 
     def scan(table: pa.Table) -> pa.Table:
