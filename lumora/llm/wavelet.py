@@ -217,7 +217,7 @@ def encode_texts(texts: list[bytes], encoder: WordEncoder) -> tuple[np.ndarray,
     return np.concatenate([*tokens, np.zeros(0, np.uint32)]), np.concatenate([*counts, np.zeros(0, np.int64)])
 
 
-def write_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 24 << 20) -> DataFrame:
+def write_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20) -> DataFrame:
     """Encodes the documents and writes a file a shard: a table (shard, n_docs, n_tokens, data) in the shared folder.
 
     Shards ascend by id, and documents within a shard by (id, text). A null or empty text is the end id alone. A null id
