@@ -23,6 +23,7 @@ from lumora.llm.plan import CHUNK, doc_order, in_chunks
 from lumora.llm.substring import first_seen, split_by_bucket
 
 GRAM = 64
+SLICE = 1 << 19
 _POSITION = np.uint64((1 << 20) - 1)
 DROP, REMOVE, SEND, REMOVE_AND_SEND = range(4)
 
@@ -178,7 +179,7 @@ def _sent(length: int, buckets: int, id_col: str, text_col: str):
     def send(table: pa.Table) -> pa.Table:
         chunk = table[CHUNK][0].as_py()
         texts = column_bytes(table.take(doc_order(table, id_col, text_col))[text_col])
-        pairs, _, _ = _distinct([segments(s, length) for _, s in slices(texts)])
+        pairs, _, _ = _distinct([segments(s, length) for _, s in slices(texts, SLICE)])
         at = split_by_bucket(np.ascontiguousarray(pairs["a"]), buckets)
         rows = [(b, pairs[at[b] : at[b + 1]].tobytes()) for b in range(buckets) if at[b] < at[b + 1]]
         return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int32()), CHUNK: pa.array([chunk] * len(rows), pa.int32()), "data": pa.array([d for _, d in rows], pa.binary())})
@@ -223,7 +224,7 @@ def _asked(length: int, buckets: int, id_col: str, text_col: str):
         if docs.num_rows and answers.num_rows:
             chunk = docs[CHUNK][0].as_py()
             texts = column_bytes(docs.take(doc_order(docs, id_col, text_col))[text_col])
-            held = [(s, segments(s, length)) for _, s in slices(texts)]
+            held = [(s, segments(s, length)) for _, s in slices(texts, SLICE)]
             pairs, index, first = _distinct([p for _, p in held])
             need = first & (_todo(answers, pairs, buckets)[index] >= SEND)
             at = 0
@@ -275,7 +276,7 @@ def _cut(length: int, buckets: int, id_col: str, text_col: str, keep: tuple[str,
     def cut(docs: pa.Table, answers: pa.Table) -> pa.Table:
         docs = docs.take(doc_order(docs, id_col, text_col))
         texts = column_bytes(docs[text_col])
-        held = [(first, s, segments(s, length)) for first, s in slices(texts)]
+        held = [(first, s, segments(s, length)) for first, s in slices(texts, SLICE)]
         pairs, index, _ = _distinct([p for _, _, p in held])
         is_todo = answers["bucket"].to_numpy() >= 0
         todo = _todo(answers.filter(pa.array(is_todo)), pairs, buckets)[index]
