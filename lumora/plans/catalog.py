@@ -13,7 +13,7 @@ from lumora.operators import metrics, rules, sampling, store, survey
 QUERIES: dict = {}
 ORACLES: dict = {}
 LOW = 0.35  # a threshold that the test tables reach
-AS_OF = dt.datetime(2024, 6, 1)
+AS_OF = dt.datetime(2024, 1, 31)
 
 
 def query(oracle: str | None = None):
@@ -285,9 +285,9 @@ def store_stats(spark, sf_dir):
     return store.stats(table(spark, sf_dir, "events"), "event_type", "value")
 
 
-@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-06-01' - INTERVAL 120 DAY")
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 10 DAY")
 def store_retention(spark, sf_dir):
-    return store.retained(table(spark, sf_dir, "events"), "ts", AS_OF, 120).select("event_id")
+    return store.retained(table(spark, sf_dir, "events"), "ts", AS_OF, 10).select("event_id")
 
 
 @query("SELECT doc_id, 'quality' AS metric, quality AS value FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels")
