@@ -156,7 +156,7 @@ class WordEncoder:
     way: their pieces go to the library's model, each once, and are kept. Other words go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -237,7 +237,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     return materialize(dealt.groupBy(CHUNK).applyInArrow(encode, "shard int, n_docs long, n_tokens long, data binary"), "tokens")
 
 
-def read_files(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def read_files(files: DataFrame, id_col: str = "doc_id", most_broadcast: int = 1_000_000) -> DataFrame:
     """(id_col, start, n_tokens, tokens) of every document, from the files: tokens are little-endian unsigned 32-bit integers."""
     offsets = files.select("shard", (F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")).alias("before"))
 
@@ -255,4 +255,6 @@ def read_files(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     )
 
     rows = files.select("shard", "data").mapInArrow(decode, "shard int, id long, at long, n_tokens long, tokens binary")
+    if files.count() <= most_broadcast:  # 12 bytes a shard
+        offsets = F.broadcast(offsets)
     return rows.join(offsets, "shard").select(F.col("id").alias(id_col), (F.col("before") + F.col("at")).alias("start"), "n_tokens", "tokens")
