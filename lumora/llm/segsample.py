@@ -362,7 +362,7 @@ def sample_segmentations(docs: DataFrame, model_path: str, id_col: str = "doc_id
         for b in batches:
             ids_in, texts = b.column(id_col), column_bytes(b.column(text_col))
             keys = np.array([zlib.crc32(f"{seed}:{x}".encode()) | (zlib.crc32(f"{x}:{seed}".encode()) << 32) for x in ids_in.to_pylist()], np.uint64)
-            for first, s in slices(texts, 3 << 20):
+            for first, s in slices(texts, 5 << 18):
                 part = texts[first : first + s.count]
                 sampler = Sampler(v, part, keys[first : first + s.count])
                 rows: dict[str, list] = {k: [] for k in ("row", "sample", "n", "logp", "gumbel", "inclusion", "ids", "lossless")}
