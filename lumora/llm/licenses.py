@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumora.llm.arrays import column_bytes
+from lumora.llm.plan import materialize
 
 #: Licence id and the wording of its notices.
 TEMPLATES = (
@@ -142,7 +143,8 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
             columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("path"), *columns], ["id", "path", "license", "score", "origin"])
 
-    found = base.mapInArrow(match, f"id {kind}, path string, license string, score double, origin string")
+    # four parts of the plan read the matches; as a table each text is matched once
+    found = materialize(base.mapInArrow(match, f"id {kind}, path string, license string, score double, origin string"), "licenses")
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
     files_of = Window.partitionBy("folder").orderBy(F.desc("score"), "from_path")
     given = found.where("origin = 'file' AND path IS NOT NULL").select(folder.alias("folder"), F.col("license").alias("given"), F.col("path").alias("from_path"), "score")
