@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 from lumora.operators import survey
-from lumora.plans import catalog
+from lumora.plans import catalog, code_catalog  # noqa: F401 - the second adds its queries to the first
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()
