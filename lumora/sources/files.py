@@ -21,4 +21,4 @@ def read_code_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] =
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).mode("overwrite").csv(path)
+    df.write.option("header", True).option("escape", "\"").mode("overwrite").csv(path)
