@@ -95,3 +95,20 @@ def code_type(text: Column) -> Column:
         .when(has("{") & has("function"), "javascript_function")
         .otherwise("other")
     )
+
+
+def in_order(text: Column, anchors: list[str]) -> Column:
+    """Whether the anchors occur one after the other, each from where the one before ended; linear in the text."""
+    rest = text
+    found = F.lit(True)
+    for a in anchors:
+        found = found & rest.rlike(a)
+        rest = F.regexp_replace(rest, rf"^(?s:.*?)(?:{a})", "")
+    return found
+
+
+def readability(words: Column, sentences: Column, syllables: Column) -> tuple[Column, Column]:
+    """Flesch reading ease and Flesch-Kincaid grade; 0 without words."""
+    ease = 206.835 - 1.015 * words / sentences - 84.6 * syllables / words
+    grade = 0.39 * words / sentences + 11.8 * syllables / words - 15.59
+    return F.when(words > 0, ease).otherwise(F.lit(0.0)), F.when(words > 0, grade).otherwise(F.lit(0.0))

@@ -52,7 +52,7 @@ FORMAL = ("function", "method", "class", "parameter", "returns", "raises")
 
 def distinct_words(text: Column) -> Column:
     """The distinct words in lower case, for scores of all languages: the text is cut once instead of searched a word."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\w+"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)))
 
 
 def score(text: Column, words: Column, language: str) -> Column:
@@ -88,7 +88,8 @@ def validate(text: Column, chosen: Column, top: Column) -> Column:
 def tokens(text: Column, kind: str, language: str) -> Column:
     """All tokens of a class: keywords, identifiers, comments, or one of TOKENS."""
     patterns = {"keywords": r"\b(?:" + KEYWORDS[language].replace(" ", "|") + r")\b", "identifiers": NAMES[language], "comments": COMMENTS[language], **TOKENS}
-    return F.regexp_extract_all(text, F.lit(patterns[kind]), F.lit(0))
+    unicode = "(?U)" if kind in ("keywords", "identifiers", "numbers") else ""  # a word ends where letters of any script end
+    return F.regexp_extract_all(text, F.lit(unicode + patterns[kind]), F.lit(0))
 
 
 def semantic(keywords: Column, names: Column) -> dict[str, Column]:
@@ -106,9 +107,9 @@ def semantic(keywords: Column, names: Column) -> dict[str, Column]:
 
 def token_vector(text: Column) -> Column:
     """Shares of the vector's tokens among all that are in it; zeros if none is."""
-    words = F.regexp_extract_all(text, F.lit(r"\b\w+\b"), F.lit(0))
+    words = F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0))
     known = F.filter(words, lambda x: x.isin(*VECTOR.split()))
-    counts = F.array(*[F.size(F.filter(known, lambda x, w=w: x == w)) for w in VECTOR.split()])
+    counts = F.transform(F.array(*map(F.lit, VECTOR.split())), lambda w: F.size(known) - F.size(F.array_remove(known, w)))
     return F.transform(counts, lambda n: F.when(F.size(known) > 0, n / F.size(known)).otherwise(F.lit(0.0)))
 
 

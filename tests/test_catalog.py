@@ -9,10 +9,10 @@ import duckdb
 import pytest
 
 from lumora.operators import survey
-from lumora.plans import catalog, code_catalog, ensemble_catalog  # noqa: F401 - the others add their queries to the first
+from lumora.plans import catalog, code_catalog, ensemble_catalog, language_catalog  # noqa: F401 - the others add their queries to the first
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
