@@ -105,12 +105,14 @@ def semantic(keywords: Column, names: Column) -> dict[str, Column]:
     }
 
 
-def token_vector(text: Column) -> Column:
-    """Shares of the vector's tokens among all that are in it; zeros if none is."""
-    words = F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0))
-    known = F.filter(words, lambda x: x.isin(*VECTOR.split()))
-    counts = F.transform(F.array(*map(F.lit, VECTOR.split())), lambda w: F.size(known) - F.size(F.array_remove(known, w)))
-    return F.transform(counts, lambda n: F.when(F.size(known) > 0, n / F.size(known)).otherwise(F.lit(0.0)))
+def vector_tokens(text: Column) -> Column:
+    """The text's tokens that are in the vector, as often as they come."""
+    return F.filter(F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0)), lambda x: x.isin(*VECTOR.split()))
+
+
+def latin_chars(text: Column) -> Column:
+    """The text's characters below code point 256, as often as they come."""
+    return F.filter(F.split(text, ""), lambda c: (c != "") & (c <= "\u00ff"))
 
 
 def machine_signals(text: Column, lines: Column) -> dict[str, Column]:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pyspark.sql.functions as F
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from lumora.functions import code as C
 from lumora.functions import languages as L
@@ -119,25 +120,23 @@ def token_jaccard(spark, sf_dir):
     return df.select("item_id", F.round(both / (F.size("a") + F.size("w") - both), 6).alias("jaccard"))
 
 
-_VECTOR = L.VECTOR.split()
+def _shares(df, values, name):
+    """(doc_id, name, share) of exploded values; counts are combined before the one shuffle."""
+    counts = df.select("doc_id", F.explode(values).alias(name)).groupBy("doc_id", name).agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("doc_id")), 12))
 
 
-@query(WITH_CODE + rf""", t AS (SELECT doc_id, list_filter(regexp_extract_all(code, '{_LETTER}+'), lambda x: x IN {_among(_VECTOR)}) AS k FROM c)
-SELECT doc_id, """ + ", ".join(f"round(CASE WHEN len(k) > 0 THEN len(list_filter(k, lambda x: x = '{w}')) / len(k) ELSE 0 END, 6) AS t_{w}" for w in _VECTOR if w not in ("None", "True", "False")) + " FROM t")
+@query(WITH_CODE + rf""", t AS (SELECT doc_id, unnest(regexp_extract_all(code, '{_LETTER}+')) AS token FROM c)
+SELECT doc_id, token, round(count(*) / sum(count(*)) OVER (PARTITION BY doc_id), 12) AS share FROM t WHERE token IN {_among(L.VECTOR.split())} GROUP BY doc_id, token""")
 def token_embedding(spark, sf_dir):
-    df = _code(spark, sf_dir).select("doc_id", L.token_vector(F.col("code")).alias("v"))
-    return df.select("doc_id", *[F.round(F.col("v")[i], 6).alias(f"t_{w}") for i, w in enumerate(_VECTOR) if w not in ("None", "True", "False")])
+    return _shares(_code(spark, sf_dir), L.vector_tokens(F.col("code")), "token").select("doc_id", "token", "share")
 
 
 @query("""WITH u AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE text IS NOT NULL AND text <> ''), k AS (SELECT doc_id, unicode(ch) AS code, count(*) AS n FROM u WHERE unicode(ch) < 256 GROUP BY ALL)
-SELECT doc_id, code::BIGINT AS code, round(n / sum(n) OVER (PARTITION BY doc_id), 6) AS share FROM k""")
+SELECT doc_id, code::BIGINT AS code, round(n / sum(n) OVER (PARTITION BY doc_id), 12) AS share FROM k""")
 def char_embedding(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").where("text <> ''")
-    chars = F.filter(F.split("text", ""), lambda c: (c != "") & (c <= "ÿ"))
-    df = df.select("doc_id", chars.alias("c")).withColumn("d", F.array_distinct("c"))
-    text = F.array_join("c", "")
-    shares = F.transform("d", lambda c: F.struct(F.ascii(c).cast("long").alias("code"), (F.size("c") - F.length(F.replace(text, c, F.lit("")))).alias("rest")))
-    return df.select("doc_id", F.size("c").alias("n"), F.explode(shares).alias("s")).select("doc_id", "s.code", F.round(F.col("s.rest") / F.col("n"), 6).alias("share"))
+    df = _shares(table(spark, sf_dir, "documents"), L.latin_chars(F.col("text")), "ch")
+    return df.select("doc_id", F.ascii("ch").cast("long").alias("code"), "share")
 
 
 _V = r"\b([a-zA-Z_][a-zA-Z0-9_]*)\s*="
