@@ -62,7 +62,7 @@ def cross_predict(df: DataFrame, key: str, features: list[str], y: str, kind: st
     """
     import functools
 
-    base = folds(df.where(F.col(y).isNotNull()).select(key, F.col(y).cast("double").alias(y), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]), key, k)
+    base = folds(df.where(F.col(y).isNotNull()).select(key, F.col(y).cast("double").alias(y), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]), key, k).cache()  # read by every fold
     out = []
     for fold in range(k):
         train, test = balanced(base.where(F.col(FOLD) != fold), y).cache(), base.where(F.col(FOLD) == fold)
