@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm import mixing, quality, segsample, simhash, substring
+from lumora.llm import mixing, near, quality, segsample, substring
 from lumora.llm.plan import materialize
 from lumora.llm.queries import tokenizer_path
 
@@ -19,13 +19,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id; of rows that share it, the first by text. Rows without an id stay."""
-    groups = simhash.near_duplicates(docs)
-    chosen = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi").select(*COLUMNS)
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars"))
-    kept = kept.withColumn("__k", first).where("__k = 1").drop("__k")
-    return kept.unionAll(docs.where("doc_id IS NULL").select(*COLUMNS))  # without an id there is no group to stay for
+    """One row of each group of documents whose 5-word shingles have a Jaccard similarity of 0.8 or more, that with the smallest id.
+
+    A SimHash radius that reaches 0.8 (10 of 64 bits on average) bounds nothing, so candidates come from min-wise keys.
+    """
+    return near.drop_near_copies(docs, COLUMNS, words=5, least=0.8)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
