@@ -60,8 +60,8 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_segment_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = segsample.sample_segmentations(_table(spark, sf_dir, "documents"), tokenizer_path("piece"), check=False)
-    return out.select("doc_id", "sample", "n_pieces", "logp", "gumbel", "inclusion", F.crc32("ids").alias("ids_crc32"))
+    out = segsample.sample_segmentations(_table(spark, sf_dir, "documents"), tokenizer_path("piece"))
+    return out.select("doc_id", "sample", "n_pieces", "logp", "gumbel", "inclusion", F.crc32("ids").alias("ids_crc32"), "lossless")
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
