@@ -63,14 +63,14 @@ class Slice:
         starts, ends = edge[0::2], edge[1::2]
         return starts, ends, np.searchsorted(starts, self.offsets)
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hashes of byte spans, eight bytes a step."""
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+        """64-bit hashes of byte spans under a seed, eight bytes a step."""
         size = ends - starts
         at = np.ndarray((len(self.raw) - 7,), "<u8", buffer=self.raw, strides=(1,))
-        h = size.astype(np.uint64) * np.uint64(BASE)
+        h = size.astype(np.uint64) * np.uint64(BASE) ^ np.uint64(seed)
         h = mix(h ^ (at[starts] & _MASK[np.minimum(size, 8)]))
         for i in np.flatnonzero(size > _LONG_SPAN):
-            h[i] = int.from_bytes(hashlib.blake2b(self.raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
+            h[i] = int.from_bytes(hashlib.blake2b(self.raw[starts[i] : ends[i]], digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
         more, done = np.flatnonzero((size > 8) & (size <= _LONG_SPAN)), 8
         while len(more):
             left = size[more] - done
@@ -92,12 +92,12 @@ def slices(texts: list[bytes], most: int = 1 << 21):
         yield first, Slice(texts[first:])
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word of every text, and each text's first word (one more at the end)."""
     hashes, counts = [], [np.zeros(1, np.int64)]
     for _, s in slices(texts):
         starts, ends, first = s.words()
-        hashes.append(s.hashes(starts, ends))
+        hashes.append(s.hashes(starts, ends, seed))
         counts.append(np.diff(first))
     return np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.cumsum(np.concatenate(counts))
 
@@ -112,6 +112,21 @@ def window_hashes(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np
     return starts, mix((total[starts + width] - total[starts]) * inverse[starts])
 
 
+def tree_hashes(hashes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of windows of another make than a polynomial's: blocks of doubling size, mixed at each step."""
+    n, size = len(hashes), 1
+    block, at, out = hashes, starts, np.full(len(starts), width, np.uint64)
+    while size <= width:
+        if width & size:
+            out = mix(out * np.uint64(BASE) + block[at])
+            at = at + size
+        double = np.zeros(n, np.uint64)
+        if n > size:
+            double[: n - size] = mix(block[: n - size] * np.uint64(BASE) + block[size:])
+        block, size = double, 2 * size
+    return out
+
+
 def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
     """Which of n items lie in [s, s + width) for some s of starts."""
     change = np.zeros(n + 1, np.int64)

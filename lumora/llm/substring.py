@@ -1,112 +1,143 @@
 """Substring dedup: Rabin-Karp hashes of every window of words, counted over all documents.
 
 1. Documents are dealt to chunks by id range, so a smaller chunk holds the earlier documents.
-2. Each chunk hashes every window and sends its distinct hashes, sorted, to buckets by hash: one array a bucket instead of
-   one row a window. A hot passage arrives once a chunk, however often the chunk repeats it.
-3. Each bucket answers every chunk with one bit a hash: was it in an earlier chunk?
+2. Each chunk hashes every window and asks, through the radix exchange, which hashes another chunk has too. That takes five
+   bytes of each distinct hash, one more with each level of the exchange, so a few windows are asked about in vain.
+3. For those alone the chunk sends the whole hash and a second one, of other word hashes and no polynomial, and hears
+   which an earlier chunk has. Word hashes depend on seeds drawn anew for each call, so no text can be made to collide.
 4. Each chunk reads its texts again from the same exchange, merges the windows that started earlier into maximal
    intervals and removes them.
 """
 
 from __future__ import annotations
 
+import re
+import secrets
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lumora.llm.arrays import column_bytes, covered, runs, window_hashes, word_hashes
+from lumora.llm.arrays import column_bytes, covered, runs, tree_hashes, window_hashes, word_hashes
+from lumora.llm.exchange import SCHEMA, Question, ask, first_messages, gather, levels, no_messages, sort_records
 from lumora.llm.plan import CHUNK, doc_order, in_chunks
 
+_KEY = np.dtype([("key", "<u8")])
+_PAIR = np.dtype([("key", "<u8"), ("check", "<u8")])
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def shared_question(chunks: int) -> Question:
+    """Does another chunk have the hash, as far as it is sent?"""
+    return Question(_KEY, lambda records: np.zeros(len(records), np.uint8), lambda answer, first, count: answer | (count > 1), 4 + levels(chunks))
+
+
+#: Does an earlier chunk have both hashes?
+EARLIER = Question(_PAIR, lambda records: np.zeros(len(records), np.uint8), lambda answer, first, count: answer | ~first)
+
+
+class _Chunk:
+    """A chunk's windows."""
 
-def split_by_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's part of sorted hashes begins (one more at the end): equal ranges of the hash."""
-    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
-    return np.concatenate(([0], np.searchsorted(hashes, edges), [len(hashes)]))
+    def __init__(self, table: pa.Table, id_col: str, text_col: str, width: int, seeds: tuple[int, int], shared: Question):
+        self.docs = table.take(doc_order(table, id_col, text_col))
+        self.number = table[CHUNK][0].as_py()
+        self.texts, self.width, self.seeds, self.shared = column_bytes(self.docs[text_col]), width, seeds, shared
+        words, self.first_word = word_hashes(self.texts, seeds[0])
+        self.n_words = len(words)
+        self.starts, self.hashes = window_hashes(words, self.first_word, width)
+        keys = np.zeros(len(self.hashes), _KEY)
+        keys["key"] = self.hashes
+        self.keys, self.index, _, self.counts = sort_records(shared.cut(keys))
 
+    def asked(self, answers: pa.Table) -> np.ndarray:
+        """Which windows another chunk may have too."""
+        return gather(self.shared, answers, self.keys)[self.index] > 0
 
-def first_seen(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct hashes, each item's index among them, and whether the item is the first of its hash."""
-    order = np.argsort(hashes, kind="stable")
-    ranked = hashes[order]
-    new = np.concatenate((np.ones(min(1, len(ranked)), bool), ranked[1:] != ranked[:-1]))
-    index = np.empty(len(hashes), np.int64)
-    index[order] = np.cumsum(new) - 1
-    first = np.zeros(len(hashes), bool)
-    first[order[new]] = True
-    return ranked[new], index, first
+    def pairs(self, windows: np.ndarray) -> np.ndarray:
+        """Both hashes of some windows."""
+        out = np.zeros(len(windows), _PAIR)
+        if len(windows):
+            out["key"] = self.hashes[windows]
+            out["check"] = tree_hashes(word_hashes(self.texts, self.seeds[1])[0], self.starts[windows], self.width)
+        return out
 
 
-def _sent(width: int, buckets: int, id_col: str, text_col: str):
+def _layout(text: bytes, kept: list[tuple[int, int]]) -> bytes:
+    """The kept runs of words with the space between their words; a line feed joins runs if one was between them, else a space."""
+    spans, out, done = [m.span() for m in _WORD.finditer(text)], [], 0
+    for s, e in kept:
+        start, end = spans[s][0], spans[e - 1][1]
+        if out:
+            out.append(b"\n" if b"\n" in text[done:start] else b" ")
+        out.append(text[start:end])
+        done = end
+    return b"".join(out)
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, keep: tuple[str, ...] = (), chunk_bytes: int = 8 << 20, layout: bool = False) -> DataFrame:
+    """Removes each word that a window of `width` words covers whose word sequence also starts earlier.
+
+    Earlier: in a document with a smaller id, or in the same one further left. Windows are judged on the input. Returns a
+    row for each input row: id_col, the columns of keep, n_words, n_removed, kept_text (kept words joined by a space; with
+    layout, as they stood, and the whole text where nothing went) and spans (removed word intervals, end exclusive).
+
+    The id is a number. A null or empty text has no words and an empty kept_text. A text shorter than the window keeps
+    all its words. Rows that share an id are ordered by a hash of the text, then by the text, so of equal rows the first
+    keeps its words; a null id counts as smallest. Other columns are ignored, whatever their names. An empty table gives
+    an empty one. Equality is that of two 64-bit hashes under seeds drawn for each call.
+    """
+    dealt, n = in_chunks(docs, id_col, text_col, keep, chunk_bytes)
+    shared = shared_question(n)
+    seeds = (secrets.randbits(64), secrets.randbits(64))
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+
+    def chunk(table: pa.Table) -> _Chunk:
+        return _Chunk(table, id_col, text_col, width, seeds, shared)
+
     def send(table: pa.Table) -> pa.Table:
-        chunk = table[CHUNK][0].as_py()
-        table = table.take(doc_order(table, id_col, text_col))
-        distinct = first_seen(window_hashes(*word_hashes(column_bytes(table[text_col])), width)[1])[0]
-        at = split_by_bucket(distinct, buckets)
-        rows = [(b, distinct[at[b] : at[b + 1]].tobytes()) for b in range(buckets) if at[b] < at[b + 1]]
-        return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int32()), CHUNK: pa.array([chunk] * len(rows), pa.int32()), "data": pa.array([d for _, d in rows], pa.binary())})
-
-    return send
-
-
-def _answered(table: pa.Table) -> pa.Table:
-    table = table.sort_by(CHUNK)
-    blobs = table["data"].to_pylist()
-    sizes = np.array([len(b) // 8 for b in blobs])
-    _, _, first = first_seen(np.frombuffer(b"".join(blobs), np.uint64))
-    bits = [np.packbits(~x).tobytes() for x in np.split(first, np.cumsum(sizes)[:-1])]
-    return pa.table({"bucket": table["bucket"], CHUNK: table[CHUNK], "n": pa.array(sizes, pa.int64()), "data": pa.array(bits, pa.binary())})
-
-
-def _removed(width: int, buckets: int, id_col: str, text_col: str, keep: tuple[str, ...]):
-    def remove(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        docs = docs.take(doc_order(docs, id_col, text_col))
-        texts = column_bytes(docs[text_col])
-        hashes, first_word = word_hashes(texts)
-        starts, windows = window_hashes(hashes, first_word, width)
-        distinct, index, first = first_seen(windows)
-        at = split_by_bucket(distinct, buckets)
+        c = chunk(table)
+        return first_messages(shared, c.keys, c.number)
+
+    def send_pairs(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows or not answers.num_rows:
+            return no_messages()
+        c = chunk(table)
+        return first_messages(EARLIER, sort_records(c.pairs(np.flatnonzero(c.asked(answers))))[0], c.number)
+
+    def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
+        c = chunk(table)
+        second = answers["second"].to_numpy(zero_copy_only=False) if answers.num_rows else np.zeros(0, bool)
+        asked = c.asked(answers.filter(pa.array(~second)))
+        some = np.flatnonzero(asked | (c.counts[c.index] > 1))
+        distinct, index, first, _ = sort_records(c.pairs(some))
+        of_asked = np.zeros(len(distinct), bool)
+        of_asked[index] = asked[some]
         earlier = np.zeros(len(distinct), bool)
-        for b, n, data in zip(*(answers[c].to_pylist() for c in ("bucket", "n", "data"))):
-            if n != at[b + 1] - at[b]:
-                raise RuntimeError("the documents changed between two reads")
-            earlier[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
-        gone = covered(len(hashes), starts[~first | earlier[index]], width)
+        earlier[of_asked] = gather(EARLIER, answers.filter(pa.array(second)), distinct[of_asked]) > 0
+        gone = covered(c.n_words, c.starts[some[~first | earlier[index]]], width)
         total = np.concatenate(([0], np.cumsum(gone)))
-        n_removed = total[first_word[1:]] - total[first_word[:-1]]
+        n_removed = total[c.first_word[1:]] - total[c.first_word[:-1]]
         kept, spans = [], []
-        for i, text in enumerate(texts):
-            words = text.split()
-            flags = gone[first_word[i] : first_word[i + 1]]
+        for i, text in enumerate(c.texts):
             if n_removed[i]:
+                flags = gone[c.first_word[i] : c.first_word[i + 1]]
                 spans.append([{"start": int(s), "end": int(e)} for s, e in zip(*runs(flags))])
-                words = [w for w, x in zip(words, flags.tolist()) if not x]
+                if layout:
+                    kept.append(_layout(text, list(zip(*(x.tolist() for x in runs(~flags))))))
+                else:
+                    kept.append(b" ".join([w for w, x in zip(text.split(), flags.tolist()) if not x]))
             else:
                 spans.append([])
-            kept.append(b" ".join(words))
-        out = {id_col: docs[id_col]} | {c: docs[c] for c in keep}
-        out |= {"n_words": pa.array(np.diff(first_word), pa.int64()), "n_removed": pa.array(n_removed, pa.int64())}
+                kept.append(text if layout else b" ".join(text.split()))
+        out = {id_col: c.docs[id_col]} | {k: c.docs[k] for k in keep}
+        out |= {"n_words": pa.array(np.diff(c.first_word), pa.int64()), "n_removed": pa.array(n_removed, pa.int64())}
         out |= {"kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))}
         return pa.table(out)
 
-    return remove
-
-
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, keep: tuple[str, ...] = (), chunk_bytes: int = 8 << 20) -> DataFrame:
-    """Removes each word that a window of `width` words covers whose word sequence also starts earlier.
-
-    Earlier: in a document with a smaller id, or in the same one further left. Windows are judged on the input. Returns a
-    row for each input row: id_col, the columns of keep, n_words, n_removed, kept_text (kept words joined by a space) and
-    spans (removed word intervals, end exclusive).
-
-    A null or empty text has no words and an empty kept_text. A text shorter than the window keeps all its words. Rows
-    that share an id are ordered by text, so of equal rows the first keeps its words; a null id counts as smallest. Other
-    columns are ignored, whatever their names. An empty table gives an empty one. Equality is that of 64-bit hashes.
-    """
-    buckets_at_most = 1 << 16
-    dealt, n = in_chunks(docs, id_col, text_col, keep, chunk_bytes)
-    buckets = min(max(n, 2), buckets_at_most)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    sent = dealt.groupBy(CHUNK).applyInArrow(_sent(width, buckets, id_col, text_col), f"bucket int, {CHUNK} int, data binary")
-    answers = sent.groupBy("bucket").applyInArrow(_answered, f"bucket int, {CHUNK} int, n long, data binary")
+    one = ask(dealt.groupBy(CHUNK).applyInArrow(send, SCHEMA), shared, n).select(F.col("member").alias(CHUNK), "path", "data", F.lit(False).alias("second"))
+    pairs = dealt.groupBy(CHUNK).cogroup(one.groupBy(CHUNK)).applyInArrow(send_pairs, SCHEMA)
+    two = ask(pairs, EARLIER, n).select(F.col("member").alias(CHUNK), "path", "data", F.lit(True).alias("second"))
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (id_col, *keep)) + ", n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int>>"
-    return dealt.groupBy(CHUNK).cogroup(answers.groupBy(CHUNK)).applyInArrow(_removed(width, buckets, id_col, text_col, tuple(keep)), schema)
+    return dealt.groupBy(CHUNK).cogroup(one.unionAll(two).groupBy(CHUNK)).applyInArrow(remove, schema)

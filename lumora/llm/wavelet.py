@@ -8,6 +8,7 @@ ones, both stable. Ranks are sums of bits a block, made when a file is opened.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import struct
 
@@ -17,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumora.llm.arrays import Slice, column_bytes
+from lumora.llm.arrays import Slice, column_bytes, slices
 from lumora.llm.plan import CHUNK, doc_order, in_chunks, materialize
 
 MAGIC = b"WVM1"
@@ -60,6 +61,10 @@ class WaveletMatrix:
     def _sums(self) -> list[np.ndarray]:
         return [np.concatenate(([0], np.cumsum(np.bitwise_count(p).astype(np.int64)))) for p in self.planes]
 
+    @functools.cached_property
+    def _zero_sums(self) -> list[np.ndarray]:
+        return [np.arange(len(x)) * 8 - x for x in self._sums]
+
     def _ones(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
         byte, rest = divmod(i, 8)
@@ -108,17 +113,28 @@ class WaveletMatrix:
         return at
 
     def _find(self, level: int, bit: int, k: int) -> int:
-        sums = self._sums[level]
-        if not bit:
-            sums = np.arange(len(sums)) * 8 - sums
-        byte = int(np.searchsorted(sums, k, side="right")) - 1
-        k -= int(sums[byte])
-        places = np.flatnonzero(np.unpackbits(self.planes[level][byte : byte + 1]) == bit)
-        return byte * 8 + int(places[k])
+        """The place of the plane's bit number k of that value: by halving over the sums, then within a byte."""
+        sums, low, high = self._sums[level], 0, len(self.planes[level])
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if (int(sums[mid]) if bit else 8 * mid - int(sums[mid])) <= k else (low, mid)
+        k -= int(sums[low]) if bit else 8 * low - int(sums[low])
+        places = np.flatnonzero(np.unpackbits(self.planes[level][low : low + 1]) == bit)
+        return low * 8 + int(places[k])
 
     def occurrences(self, token: int) -> list[int]:
-        return [self.select(token, k) for k in range(self.count(token))]
-
+        """All places of a token, in order: its run below the last plane is led up plane by plane at once."""
+        low, high = self._range(token, self.n)
+        at, bits = np.arange(low, high), len(self.planes)
+        for level in range(bits - 1, -1, -1):
+            one = token >> (bits - 1 - level) & 1
+            k = at - self.zeros[level] if one else at
+            sums = self._sums[level] if one else self._zero_sums[level]
+            byte = np.searchsorted(sums, k, side="right") - 1
+            held = np.unpackbits(self.planes[level][byte][:, None], axis=1) == one
+            inside = np.cumsum(held, axis=1) == (k - sums[byte] + 1)[:, None]
+            at = byte * 8 + np.argmax(inside, axis=1)
+        return at.tolist()
 
 def pack(tokens: np.ndarray, ids: np.ndarray, has_id: np.ndarray, counts: np.ndarray) -> bytes:
     """A shard's file."""
@@ -143,44 +159,73 @@ def unpack(data: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.ndarr
     return WaveletMatrix(n, parts[3:], zeros), parts[0], parts[1].astype(bool), parts[2]
 
 
-#: The pre-tokenizer's pattern for words below U+0250, where letters are what isalpha() says; a line feed parts words.
+#: The normalizer and pre-tokenizer that the short way stands for.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: That pattern for words below U+0250, where letters are what isalpha() says; a line feed parts words.
 _PIECES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
 _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u01bb]+")  # ASCII and Latin letters without marks
+_SLOTS = 22
+
+
+def follows_rules(path: str) -> bool:
+    """Whether a tokenizer's file has the rules of the short way; use_regex and the like may be left at their defaults."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+
+    def same(a, b) -> bool:
+        if isinstance(a, dict) and isinstance(b, dict):
+            return all(same(b[k], a[k]) if k in a else k in ("add_prefix_space", "trim_offsets", "use_regex") for k in b)
+        if isinstance(a, list) and isinstance(b, list):
+            return len(a) == len(b) and all(map(same, a, b))
+        return a == b
+
+    return all(same(held.get(k), RULES[k]) for k in RULES)
 
 
 class WordEncoder:
     """Token ids of words, by the tokenizers library.
 
-    The tokenizer drops white space and splits at it, so a text's ids are those of its words in a row. Words of ASCII and
-    Latin letters without the tokenizer's special strings are their own normal form but for case, so they take a short
-    way: their pieces go to the library's model, each once, and are kept. Other words go through the whole tokenizer.
+    A tokenizer with RULES drops white space and splits at it, so a text's ids are those of its words in a row. Words of
+    ASCII and Latin letters without the tokenizer's special strings are their own normal form but for case, so they take a
+    short way: their pieces go to the library's model. Other words go through the whole tokenizer. Words met before are
+    found by their hash in open-addressed arrays, of at most `most` words; then they start anew.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 1 << 21):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.by_word = follows_rules(path)
         self.model = self.tokenizer.model
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: "".join(p for p, _ in level.pre_tokenize_str(chr(c))) for c in range(0x21, 0x250) if not chr(c).isspace()}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.clear()
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.pieces[piece] = tuple(t.id for t in self.model.tokenize(piece.translate(self.letters)))
-        return ids
+    def clear(self) -> None:
+        self.slots = np.full(1 << _SLOTS, -1, np.int32)
+        self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
 
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and each word's number of ids."""
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
         texts = b"\n".join(words).decode().split("\n") if words else []
         lone = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if "<|" in t or not _PLAIN.fullmatch(t)}
         for i in lone:
             texts[i] = ""
         ids: list[int] = []
         counts: list[int] = []
-        get, before, at = self.pieces.get, 0, 0
+        pieces: dict[str, tuple[int, ...]] = {}
+        get, tokenize, letters, before, at = pieces.get, self.model.tokenize, self.letters, 0, 0
         for piece in _PIECES.findall("\n".join(texts).lower() + "\n") if texts else []:
             if piece == "\n":
                 ids += lone.get(at, ())
@@ -188,9 +233,60 @@ class WordEncoder:
                 before, at = len(ids), at + 1
             else:
                 found = get(piece)
-                ids += found if found is not None else self._piece(piece)
+                if found is None:
+                    found = pieces[piece] = tuple([t.id for t in tokenize(piece if piece.isascii() else piece.translate(letters))])
+                ids += found
         return np.array(ids, np.uint32), np.array(counts, np.int64)
 
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Each hash's word number, -1 if it isn't known."""
+        out = np.full(len(hashes), -1, np.int32)
+        if not len(self.keys):
+            return out
+        slot = (hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        held = self.slots[slot]
+        hit = self.keys[held] == hashes
+        hit &= held >= 0
+        out[hit] = held[hit]
+        live = np.flatnonzero(~hit & (held >= 0))
+        step = 1
+        while len(live):
+            held = self.slots[(slot[live] + step) & ((1 << _SLOTS) - 1)]
+            hit = (held >= 0) & (self.keys[held] == hashes[live])
+            out[live[hit]] = held[hit]
+            live = live[~hit & (held >= 0)]
+            step += 1
+        return out
+
+    def _add(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        ids, size = self.encode_words(words)
+        number = np.arange(len(self.keys), len(self.keys) + len(hashes), dtype=np.int32)
+        self.begin = np.concatenate((self.begin, (len(self.flat) + np.cumsum(size) - size).astype(np.int32)))
+        self.flat = np.concatenate((self.flat, ids.astype(self.flat.dtype)))
+        self.keys, self.size = np.concatenate((self.keys, hashes)), np.concatenate((self.size, size.astype(np.int32)))
+        slot, live = (hashes >> np.uint64(64 - _SLOTS)).astype(np.int64), np.arange(len(hashes))
+        while len(live):
+            at = slot[live]
+            free = self.slots[at] < 0
+            self.slots[at[free]] = number[live[free]]
+            live = live[self.slots[at] != number[live]]
+            slot[live] = (slot[live] + 1) & ((1 << _SLOTS) - 1)
+
+    def __call__(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
+        """The number of every word of a slice, and each text's first word (one more at the end)."""
+        starts, ends, first = s.words()
+        hashes = s.hashes(starts, ends)
+        if len(self.keys) > self.most:
+            self.clear()
+        index = self._find(hashes)
+        new = np.flatnonzero(index < 0)
+        if len(new):
+            distinct, where, inverse = np.unique(hashes[new], return_index=True, return_inverse=True)
+            known = len(self.keys)
+            self._add(distinct, [s.raw[starts[i] : ends[i]] for i in new[where].tolist()])
+            index[new] = known + inverse
+        return index, first
+
 
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str) -> WordEncoder:
@@ -199,22 +295,21 @@ def _encoder(path: str) -> WordEncoder:
 
 def encode_texts(texts: list[bytes], encoder: WordEncoder) -> tuple[np.ndarray, np.ndarray]:
     """All ids in a row, the end id after each text, and each text's number of ids."""
-    s = Slice(texts)
-    starts, ends, first = s.words()
-    distinct, where, index = np.unique(s.hashes(starts, ends), return_index=True, return_inverse=True)
-    flat, sizes = encoder([s.raw[starts[i] : ends[i]] for i in where.tolist()])
-    del distinct, starts, ends
-    flat, sizes = np.append(flat, np.uint32(END_ID)), np.append(sizes, 1)
-    begin = np.cumsum(sizes) - sizes
+    if not encoder.by_word:
+        ids = [encoder.tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+        return np.array([x for row in ids for x in (*row, END_ID)], np.uint32), np.array([len(row) + 1 for row in ids], np.int64)
     tokens, counts = [], []
-    for t in range(0, len(texts), 1024):  # bounds what a gather holds
-        at = first[t : t + 1025]
-        part = np.insert(index[at[0] : at[-1]], at[1:] - at[0], len(sizes) - 1)
-        size = sizes[part]
+    for _, s in slices(texts):  # bounds what a gather holds
+        index, first = encoder(s)
+        size = np.insert(encoder.size[index], first[1:], 1).astype(np.int64)
+        begin = np.insert(encoder.begin[index], first[1:], 0).astype(np.int64)
         upto = np.cumsum(size)
-        tokens.append(flat[np.repeat(begin[part] - (upto - size), size) + np.arange(upto[-1])])
-        counts.append(np.diff(np.concatenate(([0], upto[at[1:] - at[0] + np.arange(len(at) - 1)]))))
-    return np.concatenate([*tokens, np.zeros(0, np.uint32)]), np.concatenate([*counts, np.zeros(0, np.int64)])
+        ids = encoder.flat[np.repeat(begin - (upto - size), size) + np.arange(upto[-1])]
+        last = upto[first[1:] + np.arange(s.count)]
+        ids[last - 1] = END_ID
+        tokens.append(ids)
+        counts.append(np.diff(np.concatenate(([0], last))))
+    return np.concatenate([*tokens, np.zeros(0, np.uint16)]), np.concatenate([*counts, np.zeros(0, np.int64)])
 
 
 def write_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20) -> DataFrame:

@@ -168,17 +168,94 @@ def test_substring_dedup(docs, empty):
     assert substring.dedup_substrings(empty).count() == 0
 
 
-def test_substring_in_one_chunk_and_many(docs, monkeypatch):
-    real = plan.chunk_bounds
-    monkeypatch.setattr(plan, "chunk_bounds", lambda *a: [10, 30, 31, 60, 120])
-    many = counted(substring.dedup_substrings(docs).select("doc_id", "kept_text").collect())
-    wavelet_many = counted(wavelet.read_files(wavelet.write_files(docs, tokenizer_path("word"))).collect())
-    suffix_many = counted(suffix.dedup_suffixes(docs).select("doc_id", "kept_bytes").collect())
-    monkeypatch.setattr(plan, "chunk_bounds", lambda *a: [])
-    assert many == counted(substring.dedup_substrings(docs).select("doc_id", "kept_text").collect())
-    assert wavelet_many == counted(wavelet.read_files(wavelet.write_files(docs, tokenizer_path("word"))).collect())
-    assert suffix_many == counted(suffix.dedup_suffixes(docs).select("doc_id", "kept_bytes").collect())
-    monkeypatch.setattr(plan, "chunk_bounds", real)
+def test_one_chunk_and_many(docs):
+    """A few chunks, and so many that the exchange has two levels."""
+    assert plan.in_chunks(docs, "doc_id", "text", (), 100)[1] > 256
+    seen = []
+    for size in (16 << 20, 20_000, 100):
+        cut = counted(substring.dedup_substrings(docs, chunk_bytes=size).select("doc_id", "kept_text").collect())
+        tokens = counted(wavelet.read_files(wavelet.write_files(docs, tokenizer_path("word"), chunk_bytes=size)).collect())
+        rest = counted(suffix.dedup_suffixes(docs, chunk_bytes=size).select("doc_id", "kept_bytes").collect())
+        seen.append((cut, tokens, rest))
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_chunks_follow_ids_and_split_hot_ones(spark):
+    rows = [(7 if i % 3 else i, "word %d " % i * 20) for i in range(3000)] + [(None, "x%d " % i * 20) for i in range(500)]
+    dealt, n = plan.in_chunks(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", (), 10_000)
+    held = {}
+    for r in dealt.collect():
+        held.setdefault(r[plan.CHUNK], []).append((r.doc_id is not None, r.doc_id or 0, (r[plan.TIE] % 2**64) >> 32, len(r.text)))
+    assert sum(map(len, held.values())) == 3500 and len(held) > 20 and max(held) < n
+    assert max(sum(x[3] for x in v) for v in held.values()) < 40_000
+    ordered = sorted(held)
+    assert all(max(held[a])[:3] <= min(held[b])[:3] for a, b in zip(ordered, ordered[1:]))
+
+
+def test_hot_groups_are_split(spark, monkeypatch):
+    """One passage in many contexts: split to pieces, and to windows, with the result of brute force."""
+    rng = random.Random(4)
+    common = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(40))
+    rows = []
+    for i in range(60):
+        left, right = ("".join(rng.choices("abcdefgh ", k=rng.randint(0, 150))) for _ in range(2))
+        cut = rng.randint(0, 60) if i % 2 else 0
+        rows.append((i, left + common[cut:] + right))
+    length = 100
+    seen = Counter(t[k : k + length] for _, t in rows for k in range(len(t) - length + 1))
+    expect = {}
+    for i, t in rows:
+        gone = set()
+        for k in range(len(t) - length + 1):
+            if seen[t[k : k + length]] > 1:
+                gone.update(range(k, k + length))
+        expect[i] = "".join(c for k, c in enumerate(t) if k not in gone)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (256, 3, 1):
+        monkeypatch.setattr(suffix, "MOST", most)
+        decide = lambda r, most=most: suffix_decide(r, most)
+        monkeypatch.setattr(suffix, "QUESTION", suffix.Question(suffix._RECORD, decide, suffix.QUESTION.hand_on))
+        out = suffix.dedup_suffixes(df, length=length, chunk_bytes=1500).collect()
+        assert {r.doc_id: r.kept_bytes.decode() for r in out} == expect
+
+
+def suffix_decide(records, most):
+    """suffix._decide with a threshold that reaches the workers."""
+    key = records["key"]
+    group = np.cumsum(np.concatenate((np.zeros(min(1, len(key)), bool), key[1:] != key[:-1])))
+    size = np.bincount(group, minlength=1)[group]
+    return np.where(records["many"] > 0, suffix.REMOVE, 0) | np.where(size > most, suffix.SPLIT, np.where(size > 1, suffix.SEND, 0))
+
+
+def thue_morse(n):
+    return [bin(i).count("1") & 1 for i in range(n)]
+
+
+def test_strings_that_collide_are_not_equal(spark):
+    """Thue-Morse strings have one polynomial hash modulo 2**64 under every base; they differ, so nothing goes."""
+    t = thue_morse(2048)
+    bits, other = bytes(97 + x for x in t), bytes(98 - x for x in t)
+    total = [sum((c + 1) * pow(arrays.BASE, i, 2**64) for i, c in enumerate(x)) % 2**64 for x in (bits, other)]
+    assert total[0] == total[1] and bits != other
+    rng = random.Random(3)
+    edge = ["".join(rng.choices("cdefghij", k=600)) for _ in range(2)]
+    texts = [edge[0] + x.decode() + edge[1] for x in (bits, other)]
+    seen = Counter(x[k : k + 2100] for x in texts for k in range(len(x) - 2099))
+    assert max(seen.values()) == 1
+    out = suffix.dedup_suffixes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=2100).collect()
+    assert [r.n_removed for r in out] == [0, 0]
+    a = suffix.SuffixArray([x.encode() for x in texts], 2100)
+    assert not (a.prefix >= 2100).any()
+    words = [" ".join(["x"] + ["ab"[c] for c in thue] + ["y"]) for thue in (t, [1 - c for c in t])]
+    cut = substring.dedup_substrings(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"), width=2050).collect()
+    assert [r.n_removed for r in cut] == [0, 0]
+
+
+def test_kept_words_as_they_stood(spark):
+    same = " ".join(f"w{i}" for i in range(25))
+    rows = [(1, "one\n" + same), (2, "a  b\n\n" + same + "\nc\td"), (3, None), (4, " x \n y ")]
+    out = {r.doc_id: r.kept_text for r in substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), layout=True).collect()}
+    assert out == {1: rows[0][1], 2: "a  b\nc\td", 3: "", 4: " x \n y "}
 
 
 def unit_vectors():
