@@ -1,10 +1,14 @@
 """Near copies by true similarity: documents whose sets of `words`-word shingles have a Jaccard similarity of `least` or more.
 
-1. Texts with the same lower-cased words form a class. A class has BANDS keys, each over ROWS min-wise hashes of its
-   shingles. Two classes of similarity s share a key with chance 1 - (1 - s**ROWS)**BANDS: 0.999995 at 0.8, more above.
-2. Classes that share a key are joined to the key's smallest one, and the components of these edges are candidates: a
-   pair that shares a key lies within one. No pairs are formed, so the rows grow with the classes alone.
-3. Each candidate's shingle sets meet in one task, which links those of similarity `least` or more, counted exactly.
+1. Texts with the same lower-cased words form a class. Classes whose SimHash fingerprints differ in at most `radius` bits
+   are candidates of each other, found through the vantage-point shards of simhash.py.
+2. A fingerprint radius that reaches 0.8 (10 of 64 bits on average) prunes nothing, so a class has BANDS min-wise keys
+   besides, each over ROWS hashes of its shingles. Two classes of similarity s share one with chance
+   1 - (1 - s**ROWS)**BANDS: 0.999995 at 0.8, more above.
+3. Classes that share a key are joined to the key's smallest one, and the components of all these edges are candidates: a
+   pair that is linked by a key or by fingerprints lies within one. No pairs are formed, so the rows grow with the classes.
+4. Each candidate's shingle sets meet in one task, which links those of similarity `least` or more, counted exactly. A
+   component of more than `block` members is dealt to blocks, and each two of its blocks meet in a task.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from pyspark.sql import functions as F
 
 from lumora.llm.arrays import BASE, column_bytes, mix, slices, window_hashes
 from lumora.llm.plan import connected_components, drop, materialize
+from lumora.llm.simhash import fingerprint, link_classes
 
 BANDS, ROWS = 40, 6
 _FACTORS = np.random.default_rng(17).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,14 +118,16 @@ def row_key(columns: tuple[str, ...]) -> Column:
     return F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())])
 
 
-def link_members(members: DataFrame, least: float, per_task: int = 2000) -> DataFrame:
+def link_members(members: DataFrame, least: float, per_task: int = 2000, block: int = 4000) -> DataFrame:
     """(cls, root) of the members (component, cls, shingles) that are linked with another; root is one class of the group."""
-    tasks = max(1, members.count() // per_task)
+    sizes = materialize(members.groupBy("component").count(), "sizes")
+    rows, largest = sizes.agg(F.sum("count"), F.max("count")).head()
+    tasks = max(1, (rows or 0) // per_task)
 
     def link(table: pa.Table) -> pa.Table:
-        component, cls = table["component"].to_numpy(), table["cls"].to_numpy()
+        component, cls = table["group"].to_numpy(), table["cls"].to_numpy()
         order = np.lexsort((cls, component))
-        order = order[np.concatenate(([True], np.diff(cls[order]) != 0))]  # repeated rows
+        order = order[np.concatenate(([True], (np.diff(cls[order]) != 0) | (np.diff(component[order]) != 0)))]  # repeated rows
         raw = table["shingles"].to_pylist()
         moved, to = [], []
         for group in np.split(order, np.flatnonzero(np.diff(component[order])) + 1):
@@ -129,54 +136,92 @@ def link_members(members: DataFrame, least: float, per_task: int = 2000) -> Data
             to.append(cls[group[root]])
         return pa.table({"cls": np.concatenate(moved), "root": np.concatenate(to)})
 
-    dealt = members.withColumn("task", F.pmod(F.xxhash64("component"), F.lit(tasks)))
-    return dealt.groupBy("task").applyInArrow(link, "cls long, root long").where("cls <> root")
-
-
-def drop_near_copies(docs: DataFrame, columns: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    if (largest or 0) <= block:
+        dealt = members.withColumn("group", F.col("component")).withColumn("task", F.pmod(F.xxhash64("component"), F.lit(tasks)))
+        return dealt.select("task", "group", "cls", "shingles").groupBy("task").applyInArrow(link, "cls long, root long").where("cls <> root")
+    blocks = F.ceil(F.col("count") / block).cast("int")
+    dealt = members.join(sizes, "component").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> own OR blocks = 1")
+    met = met.withColumn("group", F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")))
+    # components of one block share tasks; a pair of blocks has a task of its own
+    met = met.withColumn("task", F.when(F.col("blocks") > 1, F.col("group")).otherwise(F.pmod(F.xxhash64("component"), F.lit(tasks))))
+    edges = met.select("task", "group", "cls", "shingles").groupBy("task").applyInArrow(link, "cls long, root long").where("cls <> root")
+    groups = connected_components(edges, "cls", "root")
+    return groups.where("node <> component").select(F.col("node").alias("cls"), F.col("component").alias("root"))
+
+
+def _parts(texts: list[bytes], most: int = 1 << 20):
+    """(first, one more than the last) of runs of texts with about `most` bytes each, which bounds what a worker holds."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield first, i
+            first, size = i, 0
+        size += len(t)
+    if first < len(texts):
+        yield first, len(texts)
+
+
+def drop_near_copies(docs: DataFrame, columns: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = 2) -> DataFrame:
     """The columns of one row of each group of documents linked by a similarity of `least` or more: that with the smallest id.
 
     Rows are told apart by their values, not by id, so an id may come with several texts; equal rows are one. A row
-    without an id stays only where no member of its group has one. Rows without words are copies of each other. An
-    empty table gives an empty one.
+    without an id stays only where no member of its group has one. Rows without words are copies of each other. Columns
+    other than those asked for are ignored. An empty table gives an empty one.
     """
     keyed = docs.select(*columns, row_key(columns).alias("__row"))
 
     def sign(batches):
         for b in batches:
-            texts = [plain(t) for t in column_bytes(b.column("text"))]
-            sets = shingles(texts, words)
-            some = [i for i, x in enumerate(sets) if len(x)]
-            bands = [[]] * len(sets)
-            for i, x in zip(some, band_keys([sets[i] for i in some]).view(np.int64).tolist() if some else []):
-                bands[i] = x
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), pa.array(class_keys(texts)), pa.array(bands, pa.list_(pa.int64()))], ["id", "row", "cls", "bands"])
+            for x, y in _parts(column_bytes(b.column("text"))):
+                part = b.slice(x, y - x)
+                texts = [plain(t) for t in column_bytes(part.column("text"))]
+                sets = shingles(texts, words)
+                size = np.array([BANDS if len(s) else 0 for s in sets], np.int32)
+                some = [s for s in sets if len(s)]
+                keys = band_keys(some).view(np.int64).ravel() if some else np.zeros(0, np.int64)
+                bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(keys))
+                prints = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array(class_keys(texts)), pa.array(prints), bands], ["id", "row", "cls", "fp", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = keyed.select(F.col(id_col).alias("id"), F.col("__row").alias("row"), F.col(text_col).alias("text"))
-    signed = materialize(source.mapInArrow(sign, f"id {kind}, row long, cls long, bands array<long>"), "signatures")
+    signed = materialize(source.mapInArrow(sign, f"id {kind}, row long, cls long, fp long, bands array<long>"), "signatures")
 
-    keys = materialize(signed.select("cls", "bands").dropDuplicates(["cls"]).select("cls", F.explode("bands").alias("band")), "bands")
+    classes = signed.dropDuplicates(["cls"])
+    keys = materialize(classes.select("cls", F.explode("bands").alias("band")), "bands")
     shared = keys.groupBy("band").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a < z").select("band", "a")
-    groups = materialize(connected_components(keys.join(shared, "band").where("cls <> a").select("a", F.col("cls").alias("b"))), "candidates")
-    drop(keys)
+    by_key = keys.join(shared, "band").where("cls <> a").select("a", F.col("cls").alias("b"))
+    prints = materialize(classes.where("size(bands) > 0").groupBy("fp").agg(F.min("cls").alias("least"), F.max("cls").alias("most")), "prints")
+    near_prints = materialize(link_classes(prints.select("fp"), radius), "fingerprint-links")
+    same_print = classes.where("size(bands) > 0").join(prints.where("least < most"), "fp").where("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b"))
+    one, two = (prints.select(F.col("fp").alias(c), F.col("least").alias(f"cls_{c}")) for c in ("a", "b"))
+    by_print = near_prints.join(one, "a").join(two, "b").select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
+    groups = materialize(connected_components(by_key.unionAll(same_print).unionAll(by_print)), "candidates")
+    for table in (keys, prints, near_prints):
+        drop(table)
 
     one = signed.groupBy("cls").agg(F.min("row").alias("row"))
     wanted = groups.select(F.col("node").alias("cls"), "component").join(one, "cls")
 
     def members(batches):
         for b in batches:
-            sets = shingles([plain(t) for t in column_bytes(b.column("text"))], words)
-            yield pa.RecordBatch.from_arrays([b.column("component"), b.column("cls"), pa.array([x.tobytes() for x in sets], pa.binary())], ["component", "cls", "shingles"])
+            for x, y in _parts(column_bytes(b.column("text"))):
+                part = b.slice(x, y - x)
+                sets = shingles([plain(t) for t in column_bytes(part.column("text"))], words)
+                yield pa.RecordBatch.from_arrays([part.column("component"), part.column("cls"), pa.array([x.tobytes() for x in sets], pa.binary())], ["component", "cls", "shingles"])
 
     found = source.select("row", "text").join(wanted, "row").select("component", "cls", "text")
     held = materialize(found.mapInArrow(members, "component long, cls long, shingles binary"), "shingles")
     linked = materialize(link_members(held, least), "links")
     drop(held)
+    drop(groups)
 
     rows = signed.groupBy("id", "row", "cls").agg(F.count("*").alias("n")).join(linked, "cls", "left")
     best = rows.groupBy(F.coalesce("root", "cls").alias("group")).agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "cls", "row", "n")).alias("best"))
     chosen = materialize(best.select(F.col("best.row").alias("__row"), F.col("best.n").alias("__n")), "chosen")
+    drop(signed)
+    drop(linked)
     kept = keyed.join(chosen, "__row")
     single = kept.where("__n = 1").select(*columns)
     equal = kept.where("__n > 1").dropDuplicates(["__row"]).select(*columns)

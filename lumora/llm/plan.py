@@ -47,10 +47,15 @@ def drop(df: DataFrame) -> None:
         _made[:] = [t for t in _made if t is not df]
 
 
-def sweep(keep: DataFrame) -> None:
-    """Deletes every table made so far but `keep`; for a caller whose earlier results are all consumed or written."""
-    for table in list(_made):
-        if table is not keep:
+def tables_made() -> list[DataFrame]:
+    """The tables that materialize() made and nothing has dropped."""
+    return list(_made)
+
+
+def sweep(before: list[DataFrame], keep: DataFrame) -> None:
+    """Deletes every table made since `before` but `keep`; for a caller that has written all it made from them."""
+    for table in tables_made():
+        if table is not keep and not any(table is t for t in before):
             drop(table)
 
 

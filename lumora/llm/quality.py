@@ -2,8 +2,10 @@
 
 The model has one distribution a language. An n-gram is `ORDER` bytes in a long, under a code for the language, so keys
 are exact. Tasks count their n-grams, Spark sums them, and discounts, continuation counts and interpolated
-probabilities are DataFrame steps. As the model is counted over the corpus it scores, each n-gram of a document is in
-it, and a document's perplexity needs the highest order alone.
+probabilities are DataFrame steps. Each distinct text counts once, and no document is scored by a model that counted it or
+a copy of it: texts fall into two folds by hash, and each fold is scored by the other's counts. An n-gram that only its
+own fold has keeps a row with a count of zero, which the interpolation gives its backed-off probability. So each n-gram of
+a document is in the model, and a document's perplexity needs the highest order alone.
 
 The model goes to the tasks as sorted arrays of keys and log-probabilities if it has at most `broadcast_rows` rows (12
 bytes each); a larger one is joined by key to the documents' distinct n-grams. Both give the same sums.
@@ -22,6 +24,8 @@ from lumora.llm.arrays import BASE, SPACE, Slice, column_bytes, covered, slices,
 from lumora.llm.plan import drop, materialize
 
 ORDER = 5
+WIDTH, FLOOR = 6.0, 0.25  # of the bands, in quartile distances and nats
+SHORT = 400  # bytes; a mean over fewer varies more, and its band widens with the root
 _BITS = 8 * ORDER
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -29,8 +33,13 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def language_code(lang: Column) -> Column:
-    """23 bits for a language; null has one of its own."""
-    return F.when(lang.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(lang), F.lit((1 << 23) - 1)) + 1).cast("long")
+    """22 bits for a language; null has one of its own."""
+    return F.when(lang.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(lang), F.lit((1 << 22) - 1)) + 1).cast("long")
+
+
+def fold_code(lang: Column, text: Column) -> Column:
+    """The language's code and the text's fold below it."""
+    return F.shiftleft(language_code(lang), 1) + F.pmod(F.shiftright(F.xxhash64(text), 17), F.lit(2))
 
 
 def text_counts(s: Slice) -> dict[str, np.ndarray]:
@@ -95,6 +104,26 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key[k : k + (1 << 18)]), pa.array(n[k : k + (1 << 18)])], ["key", "n"])
 
 
+def distinct_texts(source: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(text, code) of source (text, code, hash), each distinct text of a code once.
+
+    Only texts that occur more than once move: their hashes part them from the others, by a broadcast if they are few.
+    """
+    several = materialize(source.groupBy("hash", "code").count().where("count > 1").select("hash", "code"), "copies")
+    if several.count() <= broadcast_rows:
+        several = F.broadcast(several)
+    lone = source.join(several, ["hash", "code"], "left_anti").select("text", "code")
+    copied = source.join(several, ["hash", "code"], "left_semi").groupBy("hash", "code").agg(F.first("text").alias("text"))
+    return lone.unionAll(copied.select("text", "code"))
+
+
+def other_fold(counts: DataFrame) -> DataFrame:
+    """(key, n, own): for each n-gram of a fold or of the other one, its count in the other, and whether the fold has it."""
+    flip = F.col("key").bitwiseXOR(F.lit(1 << _BITS))
+    both = F.array(F.struct("key", F.lit(0).cast("long").alias("n"), F.lit(True).alias("own")), F.struct(flip.alias("key"), "n", F.lit(False).alias("own")))
+    return counts.select(F.explode(both).alias("x")).select("x.*").groupBy("key").agg(F.sum("n").alias("n"), F.max("own").alias("own"))
+
+
 def _shift(order: int) -> Column:
     """The language of an n-gram's key of that order."""
     return F.shiftrightunsigned("key", 8 * order)
@@ -103,14 +132,14 @@ def _shift(order: int) -> Column:
 def kneser_ney(counts: DataFrame) -> DataFrame:
     """(key, logp) of each n-gram of the highest order, interpolated with the lower ones.
 
-    Counts of the highest order are as seen; a lower order counts the distinct bytes to the left. Discounts per order
+    Counts of the highest order are as seen, and may be zero; a lower order counts the distinct bytes to the left. Discounts per order
     and language come from counts of counts (Chen and Goodman); where those are too sparse, they are absolute. Each order
     is a table in the shared folder, dropped when the next one has it.
     """
     orders = {ORDER: counts}
     for o in range(ORDER - 1, 0, -1):
         lower = F.shiftleft(_shift(o + 1), 8 * o).bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << (8 * o)) - 1)))
-        orders[o] = materialize(orders[o + 1].groupBy(lower.alias("key")).agg(F.count("*").alias("n")), "ngrams")
+        orders[o] = materialize(orders[o + 1].groupBy(lower.alias("key")).agg(F.count_if(F.col("n") > 0).alias("n")), "ngrams")
     below = None
     for o in range(1, ORDER + 1):
         lang = _shift(o).alias("lang")
@@ -120,22 +149,25 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         cuts = [F.when(fits, F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), k - (k + 1) * y * F.col(f"c{k + 1}") / F.col(f"c{k}")))).otherwise(F.lit(min(0.75 * k, 1.5))).alias(f"d{k}") for k in (1, 2, 3)]
         seen = seen.select("lang", *cuts)
         history = F.shiftrightunsigned("key", 8).alias("history")
-        grams = orders[o].select("key", "n", lang, history).join(seen, "lang")
+        grams = orders[o].select(*orders[o].columns, lang, history).join(seen, "lang")
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         grams = grams.withColumn("cut", F.least(cut, F.col("n") * F.lit(0.95)))
         totals = grams.groupBy("history").agg(F.sum("n").alias("all"), F.sum("cut").alias("freed"))
         grams = grams.join(totals, "history")
         if below is None:  # the lowest order shares what it freed among all 256 bytes
             p = (F.col("n") - F.col("cut") + F.col("freed") / 256) / F.col("all")
-            now = grams.select("key", p.alias("p"))
+            now = grams.select("key", F.when(F.col("all") > 0, p).otherwise(F.lit(1 / 256)).alias("p"))
         else:
             lower = F.shiftleft(_shift(o), 8 * (o - 1)).bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << (8 * (o - 1))) - 1)))
             grams = grams.withColumn("lower", lower).join(below.select(F.col("key").alias("lower"), F.col("p").alias("q")), "lower")
-            now = grams.select("key", ((F.col("n") - F.col("cut") + F.col("freed") * F.col("q")) / F.col("all")).alias("p"))
+            p = (F.col("n") - F.col("cut") + F.col("freed") * F.col("q")) / F.col("all")
+            p = F.when(F.col("all") > 0, p).otherwise(F.col("q"))  # a history that the counts don't have says nothing
+            now = grams.select("key", p.alias("p"), *(c for c in orders[o].columns if c == "own"))
         below, used = materialize(now, "probabilities"), below
         for t in (orders[o], used):
             if t is not None:
                 drop(t)
+    below = below.where("own") if "own" in below.columns else below
     return below.select("key", F.log("p").cast("float").alias("logp"))
 
 
@@ -144,7 +176,7 @@ class SortedModel:
 
     def __init__(self, keys: np.ndarray, logp: np.ndarray):
         self.keys, self.logp = keys, logp
-        bits = max(10, int(len(keys) * 2).bit_length())
+        bits = max(10, len(keys).bit_length())
         self.shift = np.uint64(64 - bits)
         self.slot_key, self.slot_logp = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
         order = np.argsort(logp, kind="stable")  # of keys with one slot the likelier stays
@@ -175,9 +207,9 @@ def _by_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, model: DataFrame, id_col: str, text_col: str, lang_col: str, keep: tuple[str, ...] = (), broadcast_rows: int = 4_000_000) -> DataFrame:
     """id_col, the columns of keep, the base counts, the number of n-grams and the mean negative log-probability (nll)."""
     spark, n_model = docs.sparkSession, model.count()
-    source = docs.select(id_col, F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), language_code(F.col(lang_col)).alias("code"), *[F.col(c).alias(f"k_{c}") for c in keep])
+    source = docs.select(id_col, F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), fold_code(F.col(lang_col), F.col(text_col)).alias("code"), F.xxhash64(text_col).alias("hash"), *[F.col(c).alias(f"k_{c}") for c in keep])
     kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
-    kept = [id_col, "lang", *[f"k_{c}" for c in keep]]
+    kept = [id_col, "lang", "hash", *[f"k_{c}" for c in keep]]
     small = n_model <= broadcast_rows
     holder = None
     if small:
@@ -185,7 +217,12 @@ def score(docs: DataFrame, model: DataFrame, id_col: str, text_col: str, lang_co
         holder = spark.sparkContext.broadcast((table["key"].to_numpy().tobytes(), table["logp"].to_numpy().tobytes()))
 
     def scored(batches):
-        lookup = _loaded(id(holder), holder) if small else None
+        try:
+            yield from scored_by(_loaded(id(holder), holder) if small else None, batches)
+        finally:
+            _loaded.cache_clear()  # a worker lives on through other operators' tasks
+
+    def scored_by(lookup, batches):
         for b in batches:
             texts, codes = column_bytes(b.column("text")), b.column("code").to_numpy()
             parts = {k: [] for k in (*STATS, "n_grams", "sum_logp", "grams")}
@@ -211,38 +248,47 @@ def score(docs: DataFrame, model: DataFrame, id_col: str, text_col: str, lang_co
         grams = rows.select("__row", F.explode("grams").alias("g")).select("__row", "g.key", "g.n")
         sums = grams.join(model, "key").groupBy("__row").agg(F.sum(F.col("n") * F.col("logp").cast("double")).alias("sum_logp"))
         out = rows.drop("grams").join(sums, "__row", "left").drop("__row")
-    return out.withColumn("nll", -F.col("sum_logp") / F.col("n_grams")).drop("sum_logp")
+    out = out.withColumn("nll", -F.col("sum_logp") / F.col("n_grams")).drop("sum_logp")
+    out._holder = holder
+    return out
 
 
-def bands(scored: DataFrame, width: float = 6.0, step: float = 0.01, floor: float = 0.25) -> DataFrame:
-    """(lang, nll_low, nll_high): per language, the quartiles of nll moved out by `width` times their distance, at least `floor`.
+def bands(scored: DataFrame, width: float = WIDTH, step: float = 0.01, floor: float = FLOOR) -> DataFrame:
+    """(lang, q1, q3, margin): per language, the quartiles of nll and `width` times their distance, at least `floor`.
 
-    The quartiles are those of a histogram with bins of `step`: exact in any order of the rows, a few hundred rows a
-    language. Documents that fail the base rules don't count.
+    Each distinct text (column hash) counts once, so copies don't move the band. The quartiles are those of a histogram
+    with bins of `step`: exact in any order of the rows, a few hundred rows a language. Documents that fail the base rules
+    don't count.
     """
-    bins = scored.where("NOT base_failed").groupBy("lang", F.floor(F.col("nll") / step).alias("bin")).agg(F.count("*").alias("n"))
+    once = scored.where("NOT base_failed").groupBy("lang", "hash").agg(F.min("nll").alias("nll"))
+    bins = once.groupBy("lang", F.floor(F.col("nll") / step).alias("bin")).agg(F.count("*").alias("n"))
     upto = Window.partitionBy("lang").orderBy("bin")
     bins = bins.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
     mid = (F.col("bin") + 0.5) * step
     q = bins.groupBy("lang").agg(*[F.min(F.when(F.col("upto") >= F.col("all") * x, mid)).alias(name) for name, x in (("q1", 0.25), ("q3", 0.75))])
     out = F.greatest(width * (F.col("q3") - F.col("q1")), F.lit(floor))
-    return q.select(F.col("lang").alias("__lang"), (F.col("q1") - out).alias("nll_low"), (F.col("q3") + out).alias("nll_high"))
+    return q.select(F.col("lang").alias("__lang"), "q1", "q3", out.alias("margin"))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = (), broadcast_rows: int = 4_000_000) -> DataFrame:
     """Base counts, perplexity and verdict of each document; columns of keep come along as k_<name>.
 
     base_failed: fewer than 10 words, or over 20 % of the words in five-word windows that the text repeats. kept: not
-    base_failed, and the perplexity within its language's band. A null or empty text has no words and so fails; a null
+    base_failed, and the perplexity within its language's band, which is wider for texts under SHORT bytes. A null or empty text has no words and so fails; a null
     language is a language. Repeated rows are scored alike. Other columns are ignored. An empty table gives an empty one.
     """
-    source = docs.select(F.col(text_col).alias("text"), language_code(F.col(lang_col)).alias("code"))
-    counts = materialize(source.mapInArrow(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "ngrams")
-    model = kneser_ney(counts)
+    source = docs.select(F.col(text_col).alias("text"), fold_code(F.col(lang_col), F.col(text_col)).alias("code"), F.xxhash64(text_col).alias("hash"))
+    seen = distinct_texts(source).mapInArrow(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    model = kneser_ney(materialize(other_fold(seen), "ngrams"))
     scored = score(docs, model, id_col, text_col, lang_col, keep, broadcast_rows)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    holder = scored._holder
     scored = materialize(scored.withColumn("base_failed", failed), "scores")
+    if holder is not None:
+        holder.destroy()
     limits = bands(scored)
     out = scored.join(limits, F.col("lang").eqNullSafe(F.col("__lang")), "left")
+    margin = F.col("margin") * F.greatest(F.lit(1.0), F.sqrt(SHORT / F.greatest("n_grams", F.lit(1))))
+    out = out.withColumns({"nll_low": F.col("q1") - margin, "nll_high": F.col("q3") + margin})
     inside = F.coalesce(F.col("nll").between(F.col("nll_low"), F.col("nll_high")), F.lit(True))
-    return out.withColumn("perplexity", F.exp("nll")).withColumn("kept", ~F.col("base_failed") & inside).drop("__lang")
+    return out.withColumn("perplexity", F.exp("nll")).withColumn("kept", ~F.col("base_failed") & inside).drop("__lang", "q1", "q3", "margin", "hash")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumora.llm.arrays import Slice, column_bytes, mix, powers, runs, slices
+from lumora.llm.arrays import BASE, Slice, column_bytes, mix, powers, runs, slices
 from lumora.llm.exchange import SCHEMA, Question, ask, first_messages, gather, no_messages, sort_records
 from lumora.llm.plan import CHUNK, doc_order, in_chunks
 
@@ -74,7 +74,7 @@ def segments(s: Slice, length: int) -> dict[str, np.ndarray]:
     last = np.flatnonzero(valid & np.concatenate(((anchor[1:] != anchor[:-1]) | ~valid[1:], [True])))
     end = last + length
     a = anchor[edge]
-    return {"start": edge, "end": end, "at": a, "anchor": gram[a]}
+    return {"start": edge, "end": end, "at": a, "anchor": mix(gram[a] + np.uint64(BASE))}  # least hashes are all small: mixed again, they spread
 
 
 def common_prefix(raw: bytes, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:

@@ -64,6 +64,23 @@ def test_stage_drops_near_copies_of_similarity_08(spark):
     assert len(set(root)) < len(texts) - 150
 
 
+def test_blocks_of_a_large_component_lose_no_link(spark):
+    """A component dealt to blocks is linked as in one task."""
+    from pyspark.sql import functions as F
+
+    texts = [near.plain(t.encode()) for t in dict.fromkeys(t.lower() for t in planted())]
+    rows = [(1, i, s.tobytes()) for i, s in enumerate(near.shingles(texts, 5))]
+    members = spark.createDataFrame(rows, "component long, cls long, shingles binary")
+    got = []
+    for block in (4000, 50):
+        linked = {r.cls: r.root for r in near.link_members(members, 0.8, block=block).withColumn("x", F.lit(1)).collect()}
+        groups = {}
+        for i in range(len(texts)):
+            groups.setdefault(linked.get(i, i), set()).add(i)
+        got.append(sorted(map(sorted, groups.values())))
+    assert got[0] == got[1] and len(got[0]) < len(texts) - 100
+
+
 def test_shingles_of_short_and_empty_texts():
     sets = near.shingles([near.plain(t) for t in (b"", b" \n", b"a B", b"A  b", b"a b c d e", b"a b c d e f a b c d e")], 5)
     assert [len(s) for s in sets] == [0, 0, 1, 1, 1, 6] and np.array_equal(sets[2], sets[3])
