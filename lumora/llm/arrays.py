@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: ASCII white space; a word is a run of anything else.
 SPACE = np.zeros(256, bool)
@@ -23,6 +26,27 @@ def column_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def parts(column: pa.Array, most: int):
+    """(first row, number of rows) of runs of a batch's texts with about `most` bytes each; a longer text stands alone."""
+    sizes = pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
+    upto, first = np.cumsum(sizes), 0
+    while first < len(sizes):
+        done = int(upto[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(upto, done + most, side="right")))
+        yield first, last - first
+        first = last
+
+
+def release() -> None:
+    """Gives back what a reused worker's earlier tasks, of other operators too, left free in the process's heap."""
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that sums of hashes don't cancel."""
     x = x ^ (x >> np.uint64(32))

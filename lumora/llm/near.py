@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumora.llm.arrays import BASE, column_bytes, mix, slices, window_hashes
+from lumora.llm.arrays import BASE, column_bytes, mix, parts, release, slices, window_hashes
 from lumora.llm.plan import connected_components, drop, materialize
 from lumora.llm.simhash import fingerprint, link_classes
 
@@ -150,18 +150,6 @@ def link_members(members: DataFrame, least: float, per_task: int = 2000, block:
     return groups.where("node <> component").select(F.col("node").alias("cls"), F.col("component").alias("root"))
 
 
-def _parts(texts: list[bytes], most: int = 1 << 20):
-    """(first, one more than the last) of runs of texts with about `most` bytes each, which bounds what a worker holds."""
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield first, i
-            first, size = i, 0
-        size += len(t)
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def drop_near_copies(docs: DataFrame, columns: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = 2) -> DataFrame:
     """The columns of one row of each group of documents linked by a similarity of `least` or more: that with the smallest id.
 
@@ -172,9 +160,9 @@ def drop_near_copies(docs: DataFrame, columns: tuple[str, ...], id_col: str = "d
     keyed = docs.select(*columns, row_key(columns).alias("__row"))
 
     def sign(batches):
+        release()
         for b in batches:
-            for x, y in _parts(column_bytes(b.column("text"))):
-                part = b.slice(x, y - x)
+            for part in (b.slice(*at) for at in parts(b.column("text"), 1 << 20)):
                 texts = [plain(t) for t in column_bytes(part.column("text"))]
                 sets = shingles(texts, words)
                 size = np.array([BANDS if len(s) else 0 for s in sets], np.int32)
@@ -205,9 +193,9 @@ def drop_near_copies(docs: DataFrame, columns: tuple[str, ...], id_col: str = "d
     wanted = groups.select(F.col("node").alias("cls"), "component").join(one, "cls")
 
     def members(batches):
+        release()
         for b in batches:
-            for x, y in _parts(column_bytes(b.column("text"))):
-                part = b.slice(x, y - x)
+            for part in (b.slice(*at) for at in parts(b.column("text"), 1 << 20)):
                 sets = shingles([plain(t) for t in column_bytes(part.column("text"))], words)
                 yield pa.RecordBatch.from_arrays([part.column("component"), part.column("cls"), pa.array([x.tobytes() for x in sets], pa.binary())], ["component", "cls", "shingles"])
 

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lumora.llm.arrays import BASE, Slice, column_bytes, mix, slices
+from lumora.llm.arrays import BASE, Slice, column_bytes, mix, parts, release
 
 SPACE_MARK = "▁"
 
@@ -358,23 +358,24 @@ def sample_segmentations(docs: DataFrame, model_path: str, id_col: str = "doc_id
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sample(batches):
+        release()
         v = vocabulary(model_path)
-        for b in batches:
-            ids_in, texts = b.column(id_col), column_bytes(b.column(text_col))
-            keys = np.array([zlib.crc32(f"{seed}:{x}".encode()) | (zlib.crc32(f"{x}:{seed}".encode()) << 32) for x in ids_in.to_pylist()], np.uint64)
-            for first, s in slices(texts, 5 << 18):
-                part = texts[first : first + s.count]
-                sampler = Sampler(v, part, keys[first : first + s.count])
+        for whole in batches:
+            for b in (whole.slice(*at) for at in parts(whole.column(text_col), 3 << 18)):
+                ids_in, texts = b.column(id_col), column_bytes(b.column(text_col))
+                keys = np.array([zlib.crc32(f"{seed}:{x}".encode()) | (zlib.crc32(f"{x}:{seed}".encode()) << 32) for x in ids_in.to_pylist()], np.uint64)
+                sampler = Sampler(v, texts, keys)
                 rows: dict[str, list] = {k: [] for k in ("row", "sample", "n", "logp", "gumbel", "inclusion", "ids", "lossless")}
                 paths = []
                 for d, found in enumerate(sampler.top(samples)):
                     for j, (lp, g, inclusion, path) in enumerate(found):
                         paths.append(path)
-                        for k, x in zip(("row", "sample", "logp", "gumbel", "inclusion"), (first + d, j, lp, g, inclusion)):
+                        for k, x in zip(("row", "sample", "logp", "gumbel", "inclusion"), (d, j, lp, g, inclusion)):
                             rows[k].append(x)
                 rows["ids"] = sampler.ids(paths)
+                del sampler, paths
                 rows["n"] = [len(x) // 2 for x in rows["ids"]]
-                rows["lossless"] = [v.decode(np.frombuffer(x, "<u2").tolist()) == texts[i] for x, i in zip(rows["ids"], rows["row"])] if check else [None] * len(paths)
+                rows["lossless"] = [v.decode(np.frombuffer(x, "<u2").tolist()) == texts[i] for x, i in zip(rows["ids"], rows["row"])] if check else [None] * len(rows["ids"])
                 columns = [ids_in.take(pa.array(rows["row"], pa.int64())), *(pa.array(rows[k], t) for k, t in (("sample", pa.int32()), ("n", pa.int64()), ("logp", pa.float64()), ("gumbel", pa.float64()), ("inclusion", pa.float64()), ("ids", pa.binary()), ("lossless", pa.bool_())))]
                 table = pa.table(columns, [id_col, "sample", "n_pieces", "logp", "gumbel", "inclusion", "ids", "lossless"])
                 yield from table.to_batches(max_chunksize=2000)
