@@ -35,14 +35,17 @@ IMPORTS = {
 }
 ALIASES = {"py": "python", "js": "javascript", "c++": "cpp", "cs": "csharp", "ts": "javascript", "tsx": "javascript", "jsx": "javascript"}
 #: Classes of tokens that don't depend on the language.
+#: Token classes of five languages, their keywords, names and comments, and the keywords of two groups.
 TOKENS = {"operators": r"[+\-*/%=<>!&|^~]", "delimiters": r"[(){}\[\].,;:]", "numbers": r"\b\d+\.?\d*\b", "whitespace": r"\s+"}
 KEYWORDS = {
     "python": "and as assert break class continue def del elif else except exec finally for from global if import in is lambda not or pass print raise return try while with yield",
     "java": "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while",
     "javascript": "break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof let new return super switch this throw try typeof var void while with yield",
+    "cpp": "alignas alignof and and_eq asm auto bitand bitor bool break case catch char char16_t char32_t class compl const constexpr const_cast continue decltype default delete do double dynamic_cast else enum explicit export extern false float for friend goto if inline int long mutable namespace new noexcept not not_eq nullptr operator or or_eq private protected public register reinterpret_cast return short signed sizeof static static_assert static_cast struct switch template this thread_local throw true try typedef typeid typename union unsigned using virtual void volatile wchar_t while xor xor_eq",
+    "csharp": "abstract as base bool break byte case catch char checked class const continue decimal default delegate do double else enum event explicit extern false finally fixed float for foreach goto if implicit in int interface internal is lock long namespace new null object operator out override params private protected public readonly ref return sbyte sealed short sizeof stackalloc static string struct switch this throw true try typeof uint ulong unchecked unsafe ushort using virtual void volatile while",
 }
-NAMES = {"python": r"\b[a-zA-Z_][a-zA-Z0-9_]*\b", "java": r"\b[a-zA-Z_$][a-zA-Z0-9_$]*\b", "javascript": r"\b[a-zA-Z_$][a-zA-Z0-9_$]*\b"}
-COMMENTS = {"python": r"(?s)#.*", "java": r"(?s)//.*|/\*.*?\*/", "javascript": r"(?s)//.*|/\*.*?\*/"}
+NAMES = {"python": r"\b[a-zA-Z_][a-zA-Z0-9_]*\b", "java": r"\b[a-zA-Z_$][a-zA-Z0-9_$]*\b", "javascript": r"\b[a-zA-Z_$][a-zA-Z0-9_$]*\b", "cpp": r"\b[a-zA-Z_][a-zA-Z0-9_]*\b", "csharp": r"\b[a-zA-Z_][a-zA-Z0-9_]*\b"}
+COMMENTS = {"python": r"(?s)#.*", "java": r"(?s)//.*|/\*.*?\*/", "javascript": r"(?s)//.*|/\*.*?\*/", "cpp": r"(?s)//.*|/\*.*?\*/", "csharp": r"(?s)//.*|/\*.*?\*/"}
 CONTROL, DEFINING = ("if", "else", "elif", "for", "while", "break", "continue", "return"), ("def", "class", "lambda", "import", "from")
 #: The tokens whose frequencies make the token vector.
 VECTOR = "def class import from if elif else for while try except finally with as return yield lambda and or not in is None True False self print len range enumerate zip map filter sorted list dict set tuple str int float bool"

@@ -148,3 +148,45 @@ def class_report(df: DataFrame, y: str, yhat: str) -> DataFrame:
     mean = rates.agg(F.lit("weighted").alias("label"), total.alias("support"), *[(F.sum(F.col(c) * F.col("support")) / total).alias(c) for c in ("precision", "recall", "f1")])
     out = rates.unionByName(mean)
     return out.select("label", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def alternate_meta_features(predictions: list[Column], probabilities: list[Column]) -> dict[str, Column]:
+    """Of each model its prediction, both probabilities and its confidence, the larger one."""
+    out = {}
+    for i, (h, p) in enumerate(zip(predictions, probabilities)):
+        out |= {f"m{i}_prediction": h, f"m{i}_p0": 1 - p, f"m{i}_p1": p, f"m{i}_confidence": F.greatest(p, 1 - p)}
+    return out
+
+
+def perturbed_features(vector: Column, key: Column, attack: str, ratio: float = 0.1, seed: int = 42) -> Column:
+    """A vector of the same length: noise, append (zeros in the last tenth), delete (zeros at chosen places), swap (neighbours).
+
+    Chosen places and noise come from the hash of (key, place, seed), so a row changes alike on every run. Null stays null.
+    """
+    draw = lambda i, what: F.pmod(F.xxhash64(key, i, F.lit(what), F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+    n = F.size(vector)
+    if attack == "noise":
+        return F.transform(vector, lambda x, i: x + (draw(i, "noise") - 0.5) * 2 * ratio)
+    if attack == "append":
+        return F.transform(vector, lambda x, i: F.when(i < n - F.ceil(n * ratio), x).otherwise(F.lit(0.0)))
+    if attack == "delete":
+        return F.transform(vector, lambda x, i: F.when(draw(i, "delete") < ratio, F.lit(0.0)).otherwise(x))
+    if attack == "swap":
+        first = lambda i: (i % 2 == 0) & (i + 1 < n) & (draw(F.floor(i / 2), "swap") < ratio)
+        second = lambda i: (i % 2 == 1) & (draw(F.floor(i / 2), "swap") < ratio)
+        return F.transform(vector, lambda x, i: F.when(first(i), F.get(vector, i + 1)).when(second(i), F.get(vector, i - 1)).otherwise(x))
+    raise ValueError(attack)
+
+
+def robustness_summary(df: DataFrame, model: str = "model", attack: str = "attack", score: str = "score") -> DataFrame:
+    """(model, n, mean_score, best_attack, worst_attack): of equal scores the first name; null scores don't count."""
+    held = df.where(F.col(score).isNotNull())
+    best = F.min_by(attack, F.struct(-F.col(score), F.col(attack)))
+    worst = F.min_by(attack, F.struct(F.col(score), F.col(attack)))
+    return held.groupBy(model).agg(F.count("*").alias("n"), F.round(F.avg(score), 6).alias("mean_score"), best.alias("best_attack"), worst.alias("worst_attack"))
+
+
+def ensemble_advantage(df: DataFrame, model: str = "model", score: str = "mean_score", ensemble: str = "ensemble") -> DataFrame:
+    """One row: the ensemble's score less the largest, mean and smallest of the others; null if either side is missing."""
+    mine, others = F.max(F.when(F.col(model) == ensemble, F.col(score))), F.when(F.col(model) != ensemble, F.col(score))
+    return df.agg(*[F.round(mine - f(others), 6).alias(f"over_{n}") for n, f in (("best", F.max), ("mean", F.avg), ("worst", F.min))])

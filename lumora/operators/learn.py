@@ -48,7 +48,7 @@ def estimator(kind: str, y: str, rows: int):
     if kind == "logistic":
         return LogisticRegression(regParam=1 / (10 * max(rows, 1)), elasticNetParam=0.0, standardization=False, **common)
     if kind == "boosting":
-        return GBTClassifier(maxIter=20, maxDepth=5, stepSize=0.1, subsamplingRate=0.8, seed=42, **common)
+        return GBTClassifier(maxIter=20, maxDepth=5, stepSize=0.1, subsamplingRate=0.8, seed=42, **common)  # 20 x 5 by default: see README
     if kind == "svm":
         return LinearSVC(regParam=1 / (10 * max(rows, 1)), maxIter=50, **{**common, "featuresCol": "kernel"})
     raise ValueError(kind)
@@ -58,10 +58,13 @@ def cross_predict(df: DataFrame, key: str, features: list[str], y: str, kind: st
     """(key, y, p): for each fold, the probability from a model of the other folds.
 
     Features are standardised on the training folds. An svm's margin becomes a probability by a logistic curve fitted on the
-    training folds. Rows with a null feature count it as 0; rows without a label are left out.
+    training folds. Rows with a null feature count it as 0; rows without a label are left out, so an empty table, or one
+    without labels, gives an empty one. Keys are unique.
     """
     import functools
 
+    if df.where(F.col(y).isNotNull()).isEmpty():
+        return df.where(F.lit(False)).select(key, F.col(y).cast("double").alias(y), F.lit(0.0).alias("p"))
     base = folds(df.where(F.col(y).isNotNull()).select(key, F.col(y).cast("double").alias(y), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]), key, k).cache()  # read by every fold
     out = []
     for fold in range(k):
@@ -88,3 +91,84 @@ def stacked(df: DataFrame, key: str, features: list[str], y: str, kinds=("random
         joined = p if joined is None else joined.join(p.drop(y), key)
     names = [f"p_{kind}" for kind in kinds]
     return cross_predict(joined, key, names, y, "logistic", k).join(joined.select(key, *names), key)
+
+
+#: The points of the grids that are searched.
+GRIDS = {
+    "random_forest": {"numTrees": (20, 60), "maxDepth": (5, 10)},
+    "logistic": {"regParam": (0.001, 0.01, 0.1)},
+    "boosting": {"maxIter": (10, 20), "maxDepth": (3, 5)},
+}
+
+
+def grid_search(df: DataFrame, key: str, features: list[str], y: str, kind: str, k: int = 5, grid: dict | None = None):
+    """(pipeline model fitted on all rows with the best parameters, [(parameters, mean F1 of class 1 over the folds)]).
+
+    Folds come from the key's hash, so they are the same on every run; the scaler is fitted within each training fold.
+    Of equal scores the first point wins. Null features count as 0; rows without a label are left out.
+    """
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    clean = df.where(F.col(y).isNotNull()).select(key, F.col(y).cast("double").alias(y), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
+    rows = balanced(folds(clean, key, k).withColumn(FOLD, F.col(FOLD).cast("int")), y)
+    model = estimator(kind, y, clean.count())
+    stages = [VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), model]
+    builder = ParamGridBuilder()
+    for name, values in (grid or GRIDS[kind]).items():
+        builder = builder.addGrid(model.getParam(name), list(values))
+    points = builder.build()
+    judge = MulticlassClassificationEvaluator(labelCol=y, metricName="fMeasureByLabel", metricLabel=1.0, beta=1.0)
+    found = CrossValidator(estimator=Pipeline(stages=stages), estimatorParamMaps=points, evaluator=judge, numFolds=k, foldCol=FOLD, parallelism=4).fit(rows)
+    return found.bestModel, [({p.name: v for p, v in point.items()}, score) for point, score in zip(points, found.avgMetrics)]
+
+
+def importances(model, features: list[str]) -> list[tuple[str, float]]:
+    """(feature, importance) of a pipeline's last stage by falling importance: Gini, or the coefficients' absolute values."""
+    last = model.stages[-1]
+    values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else abs(last.coefficients.toArray())
+    return sorted(zip(features, map(float, values)), key=lambda x: (-x[1], x[0]))
+
+
+def best_model(scores: dict[str, float]) -> str:
+    """The kind with the highest score, of equal ones the first."""
+    return max(scores, key=scores.get)
+
+
+def model_importance(scores: dict[str, float | None]) -> dict[str, float]:
+    """Validation F1 as shares; a missing one counts as 0, and all are equal if none is positive."""
+    held = {k: max(v or 0.0, 0.0) for k, v in scores.items()}
+    total = sum(held.values())
+    return {k: v / total if total else 1 / len(held) for k, v in held.items()}
+
+
+def save(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
+def text_classifier(df: DataFrame, text: str, y: str, terms: int = 100):
+    """A pipeline from words over TF-IDF to a random forest, fitted on df; null texts are empty, rows without a label are left out."""
+    from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer
+
+    stages = [
+        RegexTokenizer(inputCol=text, outputCol="words", pattern=r"[a-z0-9']+", gaps=False), CountVectorizer(inputCol="words", outputCol="counts", vocabSize=terms),
+        IDF(inputCol="counts", outputCol="features"), RandomForestClassifier(labelCol=y, numTrees=50, seed=42),
+    ]
+    rows = df.where(F.col(y).isNotNull()).select(F.coalesce(text, F.lit("")).alias(text), F.col(y).cast("double").alias(y))
+    return Pipeline(stages=stages).fit(rows)
+
+
+def attributions(model, df: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, mean_abs): the mean absolute standardised value of each feature times its importance: what to export where no tree explainer is at hand."""
+    from lumora.operators.frames import mean_abs
+
+    parts = vector_to_array("features")
+    scaled = model.transform(df).select(*[parts[i].alias(f) for i, f in enumerate(features)])
+    weight = F.create_map(*[F.lit(x) for pair in importances(model, features) for x in pair])
+    return mean_abs(scaled, features).select("feature", (F.col("mean_abs") * weight[F.col("feature")]).alias("mean_abs"))

@@ -1,10 +1,12 @@
-"""Near-duplicate texts by TF-IDF cosine: an exact join on rare terms, and the nearest of embeddings."""
+"""Near-duplicate texts by TF-IDF cosine: an exact join on rare terms."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumora.session import settled
+
 #: Letters with accents and what stands for them.
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 
@@ -46,3 +48,24 @@ def near_pairs(weighted: DataFrame, least: float = 0.92) -> DataFrame:
     left, right = weighted.select(F.col("rep").alias("a"), "term", F.col("w").alias("wa")), weighted.select(F.col("rep").alias("b"), "term", F.col("w").alias("wb"))
     scored = candidates.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
     return scored.where(F.col("similarity") >= least - slack)
+
+
+def nearest_rows(df: DataFrame, id_col: str, text_col: str, least: float = 0.92) -> DataFrame:
+    """(id, other, similarity): each row's most similar other row, of equal ones the smallest id, where the cosine is `least` or more.
+
+    Ids are unique. A copy has similarity 1. Rows without a term of the vocabulary, null texts among them, have none.
+    """
+    weighted = settled(weighted_terms(df, id_col, text_col))
+    rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.sha2(text_col, 256).alias("k"))
+    groups = rows.groupBy("k").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
+    second = rows.join(groups, "k").where("id > rep").groupBy("k").agg(F.min("id").alias("second"))
+    known = weighted.select(F.col("rep").alias("__rep")).distinct()
+    groups = groups.join(second, "k", "left").join(known, F.col("rep") == F.col("__rep"), "left_semi")
+    pairs = near_pairs(weighted, least).withColumn("similarity", F.round("similarity", 9))
+    both = pairs.select(F.col("a").alias("__rep"), F.col("b").alias("o"), "similarity").unionAll(pairs.select(F.col("b").alias("__rep"), F.col("a").alias("o"), "similarity"))
+    best = both.groupBy("__rep").agg(F.max(F.struct("similarity", (-F.col("o")).alias("o"))).alias("best"))
+    held = groups.join(best, F.col("rep") == F.col("__rep"), "left").select("k", "rep", "second", "best")
+    copy = F.when(F.col("id") == F.col("rep"), F.col("second")).otherwise(F.col("rep"))
+    of_copy = F.when(copy.isNotNull(), F.struct(F.lit(1.0).alias("similarity"), (-copy).alias("o")))
+    found = F.greatest(F.col("best"), of_copy)
+    return rows.join(held, "k").select("id", (-found["o"]).alias("other"), found["similarity"].alias("similarity")).where("other IS NOT NULL")

@@ -31,3 +31,22 @@ def unpivot_metrics(df: DataFrame, ids: list[str], metrics: list[str]) -> DataFr
 
 def by_day(log: DataFrame, time_col: str, key: str) -> DataFrame:
     return log.groupBy(F.date_trunc("day", F.col(time_col)).cast("date").alias("day"), key).agg(F.count("*").alias("n"))
+
+
+def append(log: DataFrame, path: str) -> None:
+    """Adds rows to a log of Parquet files; latest() makes an upsert of them."""
+    log.write.mode("append").parquet(path)
+
+
+def lookup(log: DataFrame, **keys) -> DataFrame:
+    """Rows whose columns equal the given values: a filter that Parquet scans take; null values match nothing."""
+    for column, value in keys.items():
+        log = log.where(F.col(column) == F.lit(value))
+    return log
+
+
+def deleted(log: DataFrame, time_col: str, as_of, days: int) -> DataFrame:
+    """One row: how many rows retained() drops and keeps; a null time is dropped."""
+    young = F.col(time_col) >= F.lit(as_of).cast("timestamp_ntz") - F.make_interval(days=F.lit(days))
+    kept = F.count_if(young)
+    return log.agg((F.count("*") - kept).alias("deleted"), kept.alias("kept"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumora.functions import text as T
+from lumora.operators import similarity
 
 #: Reason, what it adds, and when, over the metric columns. The conditions are SQL that both engines read.
 RULES = (
@@ -20,45 +21,50 @@ RULES = (
     ("repeated_ngrams", 0.22, "n_words >= 15 AND (max_bigram > 0.18 OR max_trigram > 0.14)"),
     ("uniform_sentence_lengths", 0.12, "n_words >= 25 AND sentence_cv < 0.20"),
 )
+NEAR_RULES = (("near_duplicate", 0.25, "near_duplicate_index >= 0"),)
 DUPLICATE_RULES = (("many_exact_duplicates", 0.35, "duplicate_group_size >= 3"), ("exact_duplicate", 0.20, "duplicate_group_size = 2"))
 
 
 def metrics(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with the metrics of the normalised text. Arrays are built once, in projections of their own."""
+    """df with the metrics of the normalised text; a null text reads nan, so no metric is null."""
     df = df.withColumn("norm", T.normalized(F.col(text_col)))
-    df = df.withColumns({"word_list": T.words(F.col("norm")), "n_chars": F.length("norm").cast("long")})
+    df = df.withColumns({"__stats": T.word_statistics(F.col("norm")), "n_chars": F.length("norm").cast("long")})
     one = F.greatest(F.col("n_chars"), F.lit(1))
     counts = {"digits": r"\p{Nd}+", "letters": r"\p{L}+", "spaces": r"\s+"}
     df = df.withColumns({f"__{k}": T.removed_length(F.col("norm"), p) for k, p in counts.items()})
     special = F.greatest(F.col("n_chars") - F.col("__digits") - F.col("__letters") - F.col("__spaces"), F.lit(0))
     df = df.withColumns({
-        "n_words": F.size("word_list").cast("long"),
-        "unique_ratio": F.size(F.array_distinct("word_list")) / F.greatest(F.size("word_list"), F.lit(1)),
+        **{c: F.col(f"__stats.{c}") for c in ("n_words", "unique_ratio", "entropy", "max_bigram", "max_trigram")},
         "digit_ratio": F.col("__digits") / one,
         "alpha_ratio": F.col("__letters") / one,
         "special_ratio": special / one,
-        "entropy": T.entropy(F.col("norm")),
         "repeated_run": F.col("norm").rlike(r"(.)\1{6,}"),
         "many_marks": F.col("norm").rlike(r"([!?;.,])\1{2,}"),
         "sentence_cv": T.sentence_variation(F.col("norm")),
-        "max_bigram": T.top_ngram_share(F.col("word_list"), 2),
-        "max_trigram": T.top_ngram_share(F.col("word_list"), 3),
     })
-    return df.drop("__digits", "__letters", "__spaces", "word_list")
+    return df.drop("__digits", "__letters", "__spaces", "__stats")
 
 
-def score(df: DataFrame, text_col: str = "text", duplicates: bool = True, threshold: float = 0.65) -> DataFrame:
+def score(df: DataFrame, text_col: str = "text", duplicates: bool = True, threshold: float = 0.65, near_id: str | None = None, least: float = 0.92) -> DataFrame:
     """df with metrics, duplicate_group_size, risk_score, flagged, label and reasons (sorted, joined by ;).
 
     Copies are counted by the md5 of the normalised text in an aggregate with map-side combine, and joined back, so a
-    text that a third of the rows share is one row there.
+    text that a third of the rows share is one row there. With near_id, a unique id column, also near_duplicate_index and
+    near_duplicate_similarity: the most similar other row (of equal ones that with the smallest id) where the TF-IDF cosine
+    is `least` or more, else -1 and 0; it adds to the score. A null text has no near row. An empty table gives an empty
+    one. Columns named like those made are replaced.
     """
     out = metrics(df, text_col).withColumn("norm_md5", F.md5("norm")).drop("norm")
     rules = RULES
     if duplicates:
         sizes = df.select(F.md5(T.normalized(F.col(text_col))).alias("__md5")).groupBy("__md5").agg(F.count("*").alias("duplicate_group_size"))
-        out = out.join(sizes, out.norm_md5 == F.col("__md5")).drop("__md5")
+        out = out.drop("duplicate_group_size").join(sizes, out.norm_md5 == F.col("__md5")).drop("__md5")
         rules = RULES + DUPLICATE_RULES
+    if near_id:
+        nearest = similarity.nearest_rows(df, near_id, text_col, least).select(F.col("id").alias("__near"), F.col("other").alias("__other"), F.col("similarity").alias("__similarity"))
+        out = out.join(nearest, F.col(near_id) == F.col("__near"), "left")
+        out = out.withColumns({"near_duplicate_index": F.coalesce("__other", F.lit(-1)).cast("long"), "near_duplicate_similarity": F.coalesce(F.round("__similarity", 6), F.lit(0.0))})
+        out, rules = out.drop("__near", "__other", "__similarity"), rules + NEAR_RULES
     hits = [F.when(F.expr(cond), F.lit(weight)).otherwise(F.lit(0.0)) for _, weight, cond in rules]
     total = hits[0]
     for h in hits[1:]:
@@ -70,10 +76,25 @@ def score(df: DataFrame, text_col: str = "text", duplicates: bool = True, thresh
     return out.withColumn("reasons", F.array_join(F.array_sort(F.array_compact(F.array(*names))), ";"))
 
 
-def report(scored: DataFrame) -> DataFrame:
-    """One row: total, flagged, flag_rate and rows with a copy."""
+def check(spark: SparkSession, text: str | None) -> dict:
+    """The score of one text, without the rules on copies."""
+    return score(spark.createDataFrame([(text,)], "text string"), duplicates=False).drop("norm_md5").head().asDict()
+
+
+def clean(df: DataFrame, text_col: str = "text", threshold: float = 0.65, near_id: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows that aren't flagged, the report, up to 25 flagged rows by falling score) of an uploaded table."""
+    scored = score(df, text_col, threshold=threshold, near_id=near_id)
+    flagged = scored.where("flagged").orderBy(F.desc("risk_score"), "norm_md5").limit(25)
+    return cleaned(scored), report(scored, threshold), flagged
+
+
+def report(scored: DataFrame, threshold: float = 0.65, most: int = 15) -> DataFrame:
+    """One row: total, flagged, flag_rate, rows with a copy, risk_threshold and top_reasons as `reason:n` joined by ;."""
     out = scored.agg(F.count("*").alias("total"), F.count_if("flagged").alias("flagged"), F.count_if(F.col("duplicate_group_size") >= 2).alias("exact_duplicate_rows"))
-    return out.withColumn("flag_rate", F.when(F.col("total") > 0, F.round(F.col("flagged") / F.col("total"), 6)).otherwise(F.lit(0.0)))
+    out = out.withColumn("flag_rate", F.when(F.col("total") > 0, F.round(F.col("flagged") / F.col("total"), 6)).otherwise(F.lit(0.0)))
+    top = top_reasons(scored, most).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "reason"))).alias("top"))  # `most` rows
+    named = top.select(F.array_join(F.transform("top", lambda x: F.concat_ws(":", x["reason"], -x["k"])), ";").alias("top_reasons"))
+    return out.withColumn("risk_threshold", F.lit(float(threshold))).join(F.broadcast(named))
 
 
 def top_reasons(scored: DataFrame, most: int = 15) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumora.functions import text as T
-from lumora.operators import metrics, rules, sampling, store, survey
+from lumora.operators import metrics, rules, sampling, similarity, store, survey
+from lumora.sources import files
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -39,9 +40,27 @@ def _reasons(rules_) -> str:
     return f"array_to_string(list_sort(list_filter([{items}], lambda x: x IS NOT NULL)), ';')"
 
 
-def survey_sql(name: str = "documents", key: str = "doc_id", duplicates: bool = True, threshold: float = 0.65) -> str:
+_LOW = f"translate(lower(t), '{similarity.ACCENTS[0]}', '{similarity.ACCENTS[1]}')"
+#: CTEs that end in near_rows: each row's most similar other row among all, by brute force over the distinct texts.
+NEAR = rf"""
+ng AS (SELECT min(doc_id) AS rep, count(*) AS size, text AS t FROM documents WHERE text IS NOT NULL GROUP BY text),
+nw AS (SELECT rep, size, regexp_extract_all({_LOW}, '[\p{{L}}\p{{M}}\p{{N}}_]{{2,}}') AS w FROM ng),
+ne AS (SELECT rep, size, unnest(w || CASE WHEN len(w) > 1 THEN list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END) AS term FROM nw),
+nf AS (SELECT rep, size, term, count(*) AS tf FROM ne GROUP BY ALL),
+nv AS (SELECT term, sum(size) AS df FROM nf GROUP BY term HAVING sum(size) >= 2 ORDER BY sum(tf * size) DESC, term LIMIT 5000),
+nr AS (SELECT rep, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS x FROM nf JOIN nv USING (term)),
+nn AS (SELECT rep, term, x / sqrt(sum(x * x) OVER (PARTITION BY rep)) AS x FROM nr),
+np AS (SELECT p.rep AS a, q.rep AS b, round(sum(p.x * q.x), 9) AS similarity FROM nn p JOIN nn q ON p.term = q.term AND p.rep <> q.rep GROUP BY 1, 2 HAVING sum(p.x * q.x) >= 0.92 - 1e-9),
+nd AS (SELECT doc_id, rep FROM documents JOIN ng ON text = t WHERE rep IN (SELECT rep FROM nn)),
+nc AS (SELECT d.doc_id, p.b AS other, p.similarity FROM nd d JOIN np p ON d.rep = p.a UNION ALL SELECT d.doc_id, e.doc_id, 1.0 FROM nd d JOIN nd e ON d.rep = e.rep AND d.doc_id <> e.doc_id),
+near_rows AS (SELECT doc_id, arg_max(other, (similarity, -other)) AS near_duplicate_index, max(similarity) AS near_duplicate_similarity FROM nc GROUP BY doc_id)"""
+
+
+def survey_sql(name: str = "documents", key: str = "doc_id", duplicates: bool = True, threshold: float = 0.65, near: bool = False) -> str:
     """CTEs that end in `scored`."""
-    used = survey.RULES + (survey.DUPLICATE_RULES if duplicates else ())
+    used = survey.RULES + (survey.DUPLICATE_RULES if duplicates else ()) + (survey.NEAR_RULES if near else ())
+    close = NEAR + "," if near else ""
+    joined = "SELECT g0.*, coalesce(near_duplicate_index, -1)::BIGINT AS near_duplicate_index, round(coalesce(near_duplicate_similarity, 0.0), 6) AS near_duplicate_similarity FROM g0 LEFT JOIN near_rows USING (doc_id)" if near else "SELECT * FROM g0"
     return rf"""
 WITH n0 AS (SELECT {key}, trim(regexp_replace(coalesce(text, 'nan'), '\s+', ' ', 'g')) AS norm FROM {name}),
 n1 AS (SELECT *, regexp_extract_all(lower(norm), '[a-z0-9'']+') AS w, length(norm)::BIGINT AS n_chars, md5(norm) AS norm_md5 FROM n0),
@@ -58,7 +77,8 @@ m AS (SELECT {key}, norm_md5, n_chars, n_words, len(list_distinct(w)) / greatest
   CASE WHEN len(lens) >= 2 AND list_avg(lens) > 0 THEN list_stddev_pop(lens) / (list_avg(lens) + 1e-9) ELSE 0.0 END AS sentence_cv,
   CASE WHEN len(bi) > 0 THEN list_max(map_values(list_histogram(bi))) / len(bi) ELSE 0.0 END AS max_bigram,
   CASE WHEN len(tri) > 0 THEN list_max(map_values(list_histogram(tri))) / len(tri) ELSE 0.0 END AS max_trigram FROM n3),
-g AS (SELECT *, count(*) OVER (PARTITION BY norm_md5) AS duplicate_group_size FROM m),
+g0 AS (SELECT *, count(*) OVER (PARTITION BY norm_md5) AS duplicate_group_size FROM m), {close}
+g AS ({joined}),
 r AS (SELECT *, round(least(greatest(({_case(used)})::DOUBLE, 0.0), 1.0), 6) AS risk_score, {_reasons(used)} AS reasons FROM g),
 scored AS (SELECT *, risk_score >= {threshold} AS flagged, CASE WHEN risk_score >= {threshold} THEN 'Flagged' ELSE 'OK' END AS label FROM r)
 """
@@ -72,10 +92,13 @@ def _scored(spark, sf_dir, name="documents", **kw) -> DataFrame:
     return survey.score(table(spark, sf_dir, name), **kw)
 
 
-@query(survey_sql() + f"SELECT doc_id, n_chars, n_words, {_ROUNDED}, repeated_run, many_marks, duplicate_group_size, risk_score, flagged, label, reasons FROM scored")
+_KEPT = ("repeated_run", "many_marks", "duplicate_group_size", "near_duplicate_index", "near_duplicate_similarity", "risk_score", "flagged", "label", "reasons")
+
+
+@query(survey_sql(near=True) + f"SELECT doc_id, n_chars, n_words, {_ROUNDED}, {', '.join(_KEPT)} FROM scored")
 def survey_score(spark, sf_dir):
-    out = _scored(spark, sf_dir)
-    return out.select("doc_id", "n_chars", "n_words", *[F.round(m, 6).alias(m) for m in _METRICS], "repeated_run", "many_marks", "duplicate_group_size", "risk_score", "flagged", "label", "reasons")
+    out = _scored(spark, sf_dir, near_id="doc_id")
+    return out.select("doc_id", "n_chars", "n_words", *[F.round(m, 6).alias(m) for m in _METRICS], *_KEPT)
 
 
 @query(survey_sql("conversations", "conv_id, turn", duplicates=False) + "SELECT conv_id, turn, risk_score, label, reasons FROM scored")
@@ -83,14 +106,19 @@ def survey_single(spark, sf_dir):
     return _scored(spark, sf_dir, "conversations", duplicates=False).select("conv_id", "turn", "risk_score", "label", "reasons")
 
 
-@query(survey_sql(threshold=LOW) + "SELECT count(*) AS total, count(*) FILTER (flagged) AS flagged, count(*) FILTER (duplicate_group_size >= 2) AS exact_duplicate_rows, round(count(*) FILTER (flagged) / count(*), 6) AS flag_rate FROM scored")
+_TOP = "SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(reasons, ';')) AS reason FROM scored) WHERE reason <> '' GROUP BY reason ORDER BY n DESC, reason LIMIT 15"
+
+
+@query(survey_sql(threshold=LOW, near=True) + f"""SELECT count(*) AS total, count(*) FILTER (flagged) AS flagged, count(*) FILTER (duplicate_group_size >= 2) AS exact_duplicate_rows, round(count(*) FILTER (flagged) / count(*), 6) AS flag_rate,
+  {LOW}::DOUBLE AS risk_threshold, (SELECT string_agg(reason || ':' || n, ';' ORDER BY n DESC, reason) FROM ({_TOP})) AS top_reasons FROM scored""")
 def survey_report(spark, sf_dir):
-    return survey.report(_scored(spark, sf_dir, threshold=LOW))
+    scored = _scored(spark, sf_dir, threshold=LOW, near_id="doc_id").select("flagged", "duplicate_group_size", "reasons")
+    return survey.report(scored, LOW)
 
 
-@query(survey_sql() + "SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(reasons, ';')) AS reason FROM scored) WHERE reason <> '' GROUP BY reason ORDER BY n DESC, reason LIMIT 15")
+@query(survey_sql(near=True) + _TOP)
 def survey_reasons_top(spark, sf_dir):
-    return survey.top_reasons(_scored(spark, sf_dir))
+    return survey.top_reasons(_scored(spark, sf_dir, near_id="doc_id"))
 
 
 @query(survey_sql(threshold=LOW) + "SELECT doc_id, risk_score FROM scored WHERE NOT flagged")
@@ -198,8 +226,10 @@ def kfold(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT o_custkey, row_number() OVER (ORDER BY count(*) DESC, o_custkey) - 1 AS r FROM orders GROUP BY o_custkey)
-SELECT o_orderkey, o_custkey, (CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END)::BIGINT AS fold FROM orders JOIN s USING (o_custkey)""")
+WITH RECURSIVE s AS (SELECT o_custkey, count(*)::BIGINT AS size, row_number() OVER (ORDER BY count(*) DESC, o_custkey) AS k FROM orders GROUP BY o_custkey),
+r(k, loads, fold) AS (SELECT 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[], 0::BIGINT UNION ALL
+  SELECT s.k, list_transform(loads, lambda x, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN x + s.size ELSE x END), list_position(loads, list_min(loads))::BIGINT - 1 FROM r JOIN s ON s.k = r.k + 1)
+SELECT o_orderkey, o_custkey, fold FROM orders JOIN s USING (o_custkey) JOIN r USING (k)""")
 def group_kfold(spark, sf_dir):
     return sampling.group_folds(table(spark, sf_dir, "orders"), "o_custkey").select("o_orderkey", "o_custkey", "fold")
 
@@ -312,7 +342,7 @@ def majority_vote(spark, sf_dir):
     return _scored(spark, sf_dir).select("doc_id", rules.majority(votes).cast("int").alias("vote"))
 
 
-@query(r"""SELECT page_id, url, length(html)::BIGINT AS n FROM pages WHERE url LIKE '%example.org/%' AND NOT regexp_matches(url, '/(vendor|node_modules|dist)/')""")
+@query(r"""SELECT page_id, url, length(html[:2000])::BIGINT AS n FROM pages WHERE starts_with(url, 'https://') AND NOT regexp_matches(url, '(^|/)(vendor|node_modules|dist|build|venv|\.venv|__pycache__)/') AND regexp_matches(url, '(?i)\.(html|com|org|php)([?#].*)?$') ORDER BY url, page_id LIMIT 40""")
 def repo_scan(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").where(F.col("url").contains("example.org/") & ~F.col("url").rlike("/(vendor|node_modules|dist)/"))
-    return pages.select("page_id", "url", F.length("html").cast("long").alias("n"))
+    files_ = files.scan_tree(table(spark, sf_dir, "pages"), "https://", ("html", "com", "org", "php"), None, 2000, "url", "html")
+    return files_.orderBy("url", "page_id").limit(40).select("page_id", "url", F.length("html").cast("long").alias("n"))

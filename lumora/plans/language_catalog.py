@@ -89,6 +89,16 @@ def token_counts_js(spark, sf_dir):
     return _token_counts(spark, sf_dir, "javascript")
 
 
+@query(_token_sql("cpp"))
+def token_counts_cpp(spark, sf_dir):
+    return _token_counts(spark, sf_dir, "cpp")
+
+
+@query(_token_sql("csharp"))
+def token_counts_cs(spark, sf_dir):
+    return _token_counts(spark, sf_dir, "csharp")
+
+
 def _among(values) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 

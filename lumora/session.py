@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | None = None, partitions: int | None = None) -> SparkSession:
@@ -23,3 +24,10 @@ def local_session(cores: int | None = None, partitions: int | None = None) -> Sp
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once for several readers: a reliable checkpoint where spark.checkpoint.dir names a folder, else persisted on disk."""
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint()
+    return df.persist(StorageLevel.DISK_ONLY)

@@ -1,4 +1,7 @@
-"""Sources and sinks: CSV, whole files labelled by folder, Parquet and JSON."""
+"""Sources and sinks: CSV, JSON and Parquet, whole files labelled by folder, file trees and made corpora.
+
+Spark has no source for Excel workbooks, and the library that pandas needs for them isn't a dependency: save as CSV first.
+"""
 
 from __future__ import annotations
 
@@ -22,3 +25,56 @@ def read_code_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] =
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("escape", "\"").mode("overwrite").csv(path)
+
+
+def csv_columns(spark: SparkSession, path: str) -> list[str]:
+    """The names in a CSV's header: only that line is read."""
+    return spark.read.option("header", True).csv(path).columns
+
+
+def read_data(spark: SparkSession, path: str) -> DataFrame:
+    """A table by its suffix: csv, json (one object a line) or parquet."""
+    kind = path.rstrip("/").rpartition(".")[2].lower()
+    if kind == "csv":
+        return read_csv(spark, path)
+    if kind in ("json", "parquet"):
+        return getattr(spark.read, kind)(path)
+    raise ValueError(f"no source for .{kind}")
+
+
+def write_data(df: DataFrame, path: str) -> None:
+    """A table by its suffix, in place of what is there: csv, json (one object a line, nulls kept) or parquet."""
+    kind = path.rstrip("/").rpartition(".")[2].lower()
+    if kind == "csv":
+        write_csv(df, path)
+    elif kind == "json":
+        df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    elif kind == "parquet":
+        df.write.mode("overwrite").parquet(path)
+    else:
+        raise ValueError(f"no sink for .{kind}")
+
+
+#: Folders of a tree that hold others' files.
+VENDOR = ("vendor", "node_modules", "dist", "build", "venv", ".venv", "__pycache__")
+
+
+def scan_tree(files: DataFrame, prefix: str = "", suffixes: tuple[str, ...] | None = None, most_files: int | None = None, most_chars: int | None = None, path_col: str = "path", text_col: str = "text") -> DataFrame:
+    """The files under a prefix, outside vendor folders, with one of the suffixes, the first by path, each cut to most_chars.
+
+    Limits are parameters of a listing and off unless given. A null path is no file; a null text stays null.
+    """
+    out = files.where(F.col(path_col).startswith(prefix)) if prefix else files.where(F.col(path_col).isNotNull())
+    folder = "|".join(v.replace(".", r"\.") for v in VENDOR)
+    out = out.where(~F.col(path_col).rlike(rf"(^|/)({folder})/"))
+    if suffixes:
+        out = out.where(F.col(path_col).rlike(r"(?i)\.(" + "|".join(suffixes) + r")([?#].*)?$"))
+    if most_chars is not None:
+        out = out.withColumn(text_col, F.substring(text_col, 1, most_chars))
+    return out if most_files is None else out.orderBy(path_col).limit(most_files)
+
+
+def made_corpus(spark: SparkSession, n: int, templates: tuple[str, ...], label: int = 0) -> DataFrame:
+    """(id, text, label) of n rows: template id modulo their number, with {i} standing for the id."""
+    choice = F.element_at(F.array(*[F.lit(t) for t in templates]), (F.col("id") % len(templates) + 1).cast("int"))
+    return spark.range(n).select("id", F.replace(choice, F.lit("{i}"), F.col("id").cast("string")).alias("text"), F.lit(label).alias("label"))
