@@ -1,25 +1,30 @@
 """Embedding near-dedup by a robust-pruned flat graph.
 
-1. Equal vectors form a class. Centroids are fitted on a bounded sample; every class joins the shards of its `overlap`
-   nearest centroids, and its nearest is its home.
+1. Equal vectors form a class, by 128 bits of hash. For each vector length, centroids are fitted on a sample of at most
+   2^18 classes in all; every class joins the shards of its `overlap` nearest centroids, and its nearest is its home.
 2. Each shard builds candidate lists and prunes them robustly (a candidate goes if a kept neighbour is nearer to it, by a
    factor, than the node is), then adjacency lists of all shards are united by node.
 3. In its home shard each class searches the united graph greedily from the shard's medoid, with a beam, and then goes on
-   expanding every node within range until no new one turns up. Cosines that decide are taken in double precision.
-4. A sample of queries is compared with all rows. If the recall is below `least_recall`, everything runs again with twice
-   the overlap.
+   expanding every node within range until no new one turns up. Cosines that decide are taken in double precision. A link
+   that either side finds counts for both; one that two shards can see counts in the smaller one.
+4. Queries are compared with all rows, more of them until enough true links are seen. If the recall of links between
+   different vectors is below `least_recall`, everything runs again with twice the overlap, and raises if that can't help.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumora.llm.plan import connected_components, drop, materialize
 
-DEGREE, BEAM, SLACK, AUDIT = 24, 24, 1.2, 128
+DEGREE, BEAM, SLACK = 24, 24, 1.2
+AUDIT, ENOUGH, MOST_QUERIES = 512, 400, 1 << 13  # queries of the first audit, true links that settle it, and its end
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -104,48 +109,63 @@ def greedy_range(x: np.ndarray, graph: list[np.ndarray], queries: np.ndarray, le
             all_done = np.concatenate((done[live], ~fresh), axis=1)
             top = np.argsort(-all_sims, axis=1, kind="stable")[:, :beam]
             ids[live], sims[live], done[live] = (np.take_along_axis(a, top, axis=1) for a in (all_ids, all_sims, all_done))
-        # range expansion: what is in range leads on, however many there are
+        # range expansion: what is in range leads on, however many there are; a node is compared once with the whole block
         in_range = (sims >= least) & (ids < n)
-        hit_q, hit_i = np.nonzero(in_range)[0], ids[in_range]
-        reached = np.zeros((len(q), n + 1), bool)
-        reached[hit_q, hit_i] = True
-        reached[rows, q] = False
-        own = reached.copy()
+        own = np.zeros((len(q), n), bool)
+        own[np.nonzero(in_range)[0], ids[in_range]] = True
         own[rows, q] = True
-        front_q, front_i = np.nonzero(own)
-        while len(front_q):
-            next_q, next_i = [], []
-            for a in range(0, len(front_q), 1 << 15):
-                new = table[front_i[a : a + (1 << 15)]]
-                of = np.repeat(front_q[a : a + (1 << 15)], new.shape[1])
-                new = new.ravel()
-                fresh = np.flatnonzero((new < n) & ~own[of, new])
-                pair = np.unique(of[fresh] * np.int64(n + 1) + new[fresh])
-                of, new = pair // (n + 1), pair % (n + 1)
-                near = np.einsum("kd,kd->k", x[q[of]], x[new]) >= least
-                own[of[near], new[near]] = True
-                next_q.append(of[near])
-                next_i.append(new[near])
-            front_q, front_i = np.concatenate(next_q), np.concatenate(next_i)
+        checked = np.zeros(n, bool)
+        front = np.flatnonzero(own.any(axis=0))
+        while len(front):
+            near = np.zeros(n + 1, bool)
+            near[table[front].ravel()] = True
+            near[front] = True
+            near = np.flatnonzero(near[:n] & ~checked)
+            checked[near] = True
+            close = x[q] @ x[near].T >= least
+            new = close & ~own[:, near]
+            own[:, near] |= close
+            front = near[new.any(axis=0)]
         own[rows, q] = False
-        found = np.nonzero(own[:, :n])
+        found = np.nonzero(own)
         yield q[found[0]], found[1]
 
 
-def _members(classes: DataFrame, n: int, sample: np.ndarray, dim: int, overlap: int, shard_size: int) -> DataFrame:
-    k = max(1, min(-(-n // shard_size), len(sample) // 8))
-    centroids = fit_centroids(sample, k) if len(sample) else np.ones((1, dim))
-    take = min(overlap, k)
+def _sample(classes: DataFrame, n: int, shard_size: int, sample_size: int) -> dict[int, np.ndarray]:
+    """Centroids of each vector length that has more classes than a shard takes, from a sample chosen by hash."""
+    size = min(1 << 18, max(sample_size, 8 * n // shard_size))
+    share = min(1.0, size / max(n, 1))
+    counts = dict(classes.groupBy(F.size("vec")).count().where(F.col("count") > shard_size).collect())
+    picked = classes.where(F.pmod(F.xxhash64("id", F.lit("centroid")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("vec").limit(2 * size).toArrow()
+    lengths = pc.list_value_length(picked["vec"]).to_numpy()
+    out = {}
+    for d, held in counts.items():
+        x = matrix(picked["vec"].filter(pa.array(lengths == d))) if (lengths == d).any() else np.zeros((0, d))
+        if len(x) >= 16:
+            x = x[np.lexsort(x.T)]
+            out[int(d)] = fit_centroids(x, max(1, min(-(-held // shard_size), len(x) // 8)))
+    return out
+
+
+def _members(classes: DataFrame, centroids: dict[int, np.ndarray], overlap: int) -> DataFrame:
+    """A row for each shard of each class; shards holds all of them, the home first."""
 
     def place(batches):
         for b in batches:
-            x = matrix(b.column("vec"))
-            near = np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, :take]
-            rows = np.repeat(np.arange(len(x)), take)
-            home = np.tile(np.arange(take) == 0, len(x))
-            yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), pa.array(home), b.column("id").take(pa.array(rows)), b.column("n").take(pa.array(rows)), b.column("vec").take(pa.array(rows))], ["shard", "home", "id", "n", "vec"])
+            lengths = pc.list_value_length(b.column("vec")).to_numpy()
+            for d in np.unique(lengths).tolist():
+                part = b.filter(pa.array(lengths == d))
+                n = part.num_rows
+                c = centroids.get(d)
+                take = 1 if c is None else min(overlap, len(c))
+                near = np.zeros((n, 1), np.int64) if c is None else np.argsort(-(matrix(part.column("vec")) @ c.T), axis=1, kind="stable")[:, :take]
+                shards = near + (d << 24)
+                rows = pa.array(np.repeat(np.arange(n), take))
+                of = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * take), pa.array(shards.ravel()))
+                home = np.tile(np.arange(take) == 0, n)
+                yield pa.RecordBatch.from_arrays([pa.array(shards.ravel()), pa.array(home), of.take(rows), *(part.column(k).take(rows) for k in ("id", "n", "vec"))], ["shard", "home", "shards", "id", "n", "vec"])
 
-    return classes.select("id", "n", "vec").mapInArrow(place, "shard int, home boolean, id long, n long, vec array<double>")
+    return classes.select("id", "n", "vec").mapInArrow(place, "shard long, home boolean, shards array<long>, id long, n long, vec array<double>")
 
 
 def _build(table: pa.Table) -> pa.Table:
@@ -165,18 +185,34 @@ def _search(least: float):
     def search(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
         ids, x, n = table["id"].to_numpy(), matrix(table["vec"]), table["n"].to_numpy()
+        here, size = table["shard"][0].as_py(), len(ids)
         graph = []
         for to in table["to"].to_pylist():
             to = np.unique(np.array(to or [], np.int64))
-            at = np.minimum(np.searchsorted(ids, to), len(ids) - 1)
+            at = np.minimum(np.searchsorted(ids, to), size - 1)
             graph.append(at[ids[at] == to])
-        home = np.flatnonzero(table["home"].to_numpy(zero_copy_only=False))
-        links = np.zeros(len(ids), np.int64)
-        root = np.arange(len(ids))
-        touched = np.zeros(len(ids), bool)
+        is_home = table["home"].to_numpy(zero_copy_only=False)
+        home = np.flatnonzero(is_home)
+        shards = table["shards"].to_pylist()
+        own_shard = np.array([s[0] for s in shards])
+        held = np.full((size, max(map(len, shards))), -1, np.int64)
+        for i, s in enumerate(shards):
+            held[i, : len(s)] = s
+        bits = np.zeros((size, -(-size // 8)), np.uint8)  # which pairs of home members were found, a bit each
+        links, pairs = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        root, touched = np.arange(size), np.zeros(size, bool)
         for q, f in greedy_range(x, graph, home, least):
-            np.add.at(links, q, n[f])
             touched[q] = touched[f] = True
+            inner = is_home[f]
+            np.bitwise_or.at(bits, (q[inner], f[inner] // 8), (128 >> (f[inner] % 8)).astype(np.uint8))
+            a, b = q[~inner], f[~inner]
+            # the visitor's home sees the pair too if the query is a visitor there; then the smaller shard counts it
+            both = (held[a] == own_shard[b][:, None]).any(axis=1)
+            mine = ~both | (here < own_shard[b])
+            a, b = a[mine], b[mine]
+            for one, two in ((a, b), (b, a)):
+                links += np.bincount(one, n[two], size).astype(np.int64)
+                pairs += np.bincount(one, minlength=size)
             while True:  # a forest over the links, so that a dense group sends no more rows than it has members
                 low, high = np.minimum(root[q], root[f]), np.maximum(root[q], root[f])
                 if (low == high).all():
@@ -184,79 +220,106 @@ def _search(least: float):
                 np.minimum.at(root, high, low)
                 while not (root[root] == root).all():
                     root = root[root]
-        other = np.flatnonzero(touched & (root != np.arange(len(ids))))
-        rows = np.concatenate((home, other))
-        kind = np.repeat([True, False], [len(home), len(other)])
-        return pa.table({"id": ids[rows], "links": pa.array(np.where(kind, links[rows], 0)), "root": pa.array(ids[root[rows]], mask=kind)})
+        for s in range(0, size, 512):  # a link that either side found counts for both
+            found = np.unpackbits(bits[s : s + 512], axis=1, count=size).astype(bool)
+            found |= np.unpackbits(bits[:, s // 8 : s // 8 + 64], axis=1)[:, : len(found)].T.astype(bool)
+            links[s : s + 512] += found @ n
+            pairs[s : s + 512] += found.sum(axis=1)
+        counted = np.flatnonzero(is_home | (links > 0))
+        other = np.flatnonzero(touched & (root != np.arange(size)))
+        rows = np.concatenate((counted, other))
+        kind = np.repeat([True, False], [len(counted), len(other)])
+        return pa.table({"id": ids[rows], "links": pa.array(np.where(kind, links[rows], 0)), "pairs": pa.array(np.where(kind, pairs[rows], 0)), "root": pa.array(ids[root[rows]], mask=kind)})
 
     return search
 
 
-def link_classes(classes: DataFrame, n: int, dim: int, least: float, overlap: int, shard_size: int, sample_size: int) -> DataFrame:
-    """(id, links, root): links of each class, and rows that join a class to another of its component."""
-    share = min(1.0, sample_size / max(n, 1))
-    picked = classes.where(F.pmod(F.xxhash64("id", F.lit("centroid")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("vec").limit(2 * sample_size).toArrow()
-    sample = matrix(picked["vec"]) if picked.num_rows else np.zeros((0, dim))
-    sample = sample[np.lexsort(sample.T)]
-    members = materialize(_members(classes, n, sample, dim, overlap, shard_size), "members")
+def link_classes(classes: DataFrame, centroids: dict[int, np.ndarray], least: float, overlap: int) -> DataFrame:
+    """(id, links, pairs, root): parts of each class's links, by rows and by classes, and rows that join a class to another of its component."""
+    members = materialize(_members(classes, centroids, overlap), "members")
     lists = members.select("shard", "id", "vec").groupBy("shard").applyInArrow(_build, "node long, to array<long>")
     graph = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("to"))  # overlap * degree at most, both ways
-    full = members.join(graph, members.id == graph.node, "left").select("shard", "home", "id", "n", "vec", "to")
-    return full.groupBy("shard").applyInArrow(_search(least), "id long, links long, root long")
+    full = members.join(graph, members.id == graph.node, "left").select("shard", "home", "shards", "id", "n", "vec", "to")
+    found = materialize(full.groupBy("shard").applyInArrow(_search(least), "id long, links long, pairs long, root long"), "links")
+    drop(members)
+    return found
 
 
-def audit_recall(classes: DataFrame, links: DataFrame, least: float, queries: int = AUDIT) -> tuple[int, int]:
-    """(found, true) links of a sample of classes, the true ones by comparison with every class."""
-    picked = classes.orderBy(F.xxhash64("id", F.lit("audit"))).limit(queries).toArrow()
-    ids, q = picked["id"].to_numpy(), matrix(picked["vec"])
+def class_links(found: DataFrame) -> DataFrame:
+    """(id, links, pairs) of each class."""
+    return found.where("root IS NULL").groupBy("id").agg(F.sum("links").alias("links"), F.sum("pairs").alias("pairs"))
 
-    def compare(batches):
-        for b in batches:
-            hit = matrix(b.column("vec")) @ q.T >= least
-            n = b.column("n").to_numpy()
-            same = b.column("id").to_numpy()[:, None] == ids[None, :]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(((hit & ~same) * n[:, None]).sum(axis=0))], ["id", "true"])
 
-    true = classes.mapInArrow(compare, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
-    got = links.where("root IS NULL").select(F.col("id").alias("__id"), "links")
-    row = true.join(got, F.col("id") == F.col("__id"), "left").agg(F.sum(F.least("true", F.coalesce("links", F.lit(0)))), F.sum("true")).head()
-    return int(row[0] or 0), int(row[1] or 0)
+def audit_recall(classes: DataFrame, links: DataFrame, least: float, n: int, queries: int = AUDIT, enough: int = ENOUGH, most: int = MOST_QUERIES) -> tuple[int, int, int]:
+    """(found, true, queries): links of query classes to other classes, the true ones by comparison with every class.
+
+    Queries are taken by hash, four times as many until `enough` true links are seen, every class is one or there are `most`.
+    """
+    while True:
+        picked = classes.orderBy(F.xxhash64("id", F.lit("audit"))).limit(queries).toArrow()
+        ids, lengths = picked["id"].to_numpy(), pc.list_value_length(picked["vec"]).to_numpy()
+        by_length = {int(d): (ids[lengths == d], matrix(picked["vec"].filter(pa.array(lengths == d)))) for d in np.unique(lengths)}
+
+        def compare(batches, by_length=by_length):
+            for b in batches:
+                sizes = pc.list_value_length(b.column("vec")).to_numpy()
+                for d in np.unique(sizes).tolist():
+                    if d in by_length:
+                        part = b.filter(pa.array(sizes == d))
+                        x, own = matrix(part.column("vec")), part.column("id").to_numpy()
+                        of, q = by_length[d]
+                        for s in range(0, len(of), 512):
+                            hit = (x @ q[s : s + 512].T >= least) & (own[:, None] != of[None, s : s + 512])
+                            yield pa.RecordBatch.from_arrays([pa.array(of[s : s + 512]), pa.array(hit.sum(axis=0))], ["id", "true"])
+
+        true = classes.mapInArrow(compare, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
+        row = true.join(class_links(links), "id", "left").agg(F.sum(F.least("true", F.coalesce("pairs", F.lit(0)))), F.sum("true")).head()
+        found, seen = int(row[0] or 0), int(row[1] or 0)
+        if seen >= enough or queries >= min(n, most):
+            return found, seen, min(queries, n)
+        queries *= 4
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95, overlap: int = 3, shard_size: int = 1500, sample_size: int = 1 << 14, least_recall: float = 0.9) -> DataFrame:
-    """(id_col, n_links, component_id, kept) of every vector; vectors with a cosine of `least` or more are linked.
+    """(id_col, n_links, component_id, kept, audit_recall) of every vector; vectors with a cosine of `least` or more are linked.
 
     component_id is the smallest id reachable by links, kept says that it is the vector's own. Vectors that are null,
     empty, zero or hold null or non-finite components, and rows with a null id, link with nothing: n_links 0, a component
-    of their own. So do vectors of another length than the commonest. Equal vectors are one class with all its rows
-    linked, so copies never expand to pairs; rows that share id and vector count as links of each other. Other columns
-    are ignored. An empty table gives an empty one.
+    of their own. Vectors of different lengths don't link. Equal vectors are one class with all its rows linked, so copies
+    never expand to pairs; rows that share id and vector count as links of each other. Other columns are ignored. An empty
+    table gives an empty one.
+
+    The search is approximate between different vectors. audit_recall, the same in all rows, is the share of true links
+    that the last audit found; 1 if every class was a query and none has a link; null if queries had none, and then a
+    warning says that nothing was measured. Links within a class are exact.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     good = F.col("id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0)
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     good = F.coalesce(good & finite & F.exists("vec", lambda x: x != 0), F.lit(False))
-    dims = rows.where(good).groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").head()
-    dim = dims["d"] if dims else 1
-    rows = rows.withColumn("good", good & (F.size("vec") == dim))
-    classes = materialize(rows.where("good").groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("n")), "vectors")
+    rows = rows.withColumn("good", good).withColumns({"h": F.xxhash64("vec"), "g": F.xxhash64(F.lit("second"), "vec")})
+    classes = materialize(rows.where("good").groupBy("h", "g").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("vec").alias("vec")), "vectors")
     n = classes.count()
     lone = rows.where("NOT good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"))
+    ends = [F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")]
     if not n:
-        return lone.select(F.col("id").alias(id_col), "n_links", "component_id", F.lit(True).alias("kept"))
-    links = None
+        return lone.select(F.col("id").alias(id_col), "n_links", "component_id", *ends, F.lit(None).cast("double").alias("audit_recall"))
+    centroids = _sample(classes, n, shard_size, sample_size)
+    most_shards = max([1, *map(len, centroids.values())])
     while True:
-        if links is not None:
-            drop(links)
-        links = materialize(link_classes(classes, n, dim, least, overlap, shard_size, sample_size), "links")
-        found, true = audit_recall(classes, links, least)
-        if found >= least_recall * true or overlap * shard_size >= max(n, 1):
+        found_links = link_classes(classes, centroids, least, overlap)
+        found, true, queries = audit_recall(classes, found_links, least, n)
+        if found >= least_recall * true:
             break
+        drop(found_links)
+        if overlap >= most_shards:
+            raise RuntimeError(f"recall {found} of {true} with every shard of every vector")
         overlap *= 2
-    print(f"embedding links: {found} of {true} in the audit, overlap {overlap}")
-    groups = connected_components(links.where("root IS NOT NULL").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    of_class = classes.select("vec", F.col("id").alias("class"), "n").join(links.where("root IS NULL").select(F.col("id").alias("class"), "links"), "class", "left")
-    of_class = of_class.join(groups, F.col("class") == F.col("node"), "left").select(F.col("vec").alias("__vec"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "class").alias("component"))
-    linked = rows.where("good").join(of_class, F.col("vec") == F.col("__vec")).select("id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
-    out = linked.unionAll(lone)
-    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    recall = found / true if true else 1.0 if queries >= n else None
+    if recall is None:
+        warnings.warn(f"recall was not measured: {queries} queries have no true link", stacklevel=2)
+    groups = connected_components(found_links.where("root IS NOT NULL").select(F.col("id").alias("a"), F.col("root").alias("b")))
+    of_class = classes.select("h", "g", F.col("id").alias("class"), "n").join(class_links(found_links).withColumnRenamed("id", "class"), "class", "left")
+    of_class = of_class.join(groups, F.col("class") == F.col("node"), "left").select(F.col("h").alias("__h"), F.col("g").alias("__g"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "class").alias("component"))
+    linked = rows.where("good").join(of_class, (F.col("h") == F.col("__h")) & (F.col("g") == F.col("__g"))).select("id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
+    return linked.unionAll(lone).select(F.col("id").alias(id_col), "n_links", "component_id", *ends, F.lit(recall).cast("double").alias("audit_recall"))
