@@ -1,7 +1,9 @@
 """Licence scans: sparse TF-IDF cosine of headers and licence files to templates, then nearest-ancestor inheritance.
 
-A candidate is a line with a licence word, or a paragraph with one, anywhere in the text. Terms are weighted by their
-document frequency over all documents; a term outside the templates weighs as one that no document has. A licence file
+A candidate is a line or a paragraph with a licence word, anywhere in the text, or the whole text. Terms are weighted by
+their document frequency over all documents; a term outside the templates weighs as one that no document has. A template
+is a notice, a tag, or a licence's text as far as license_texts.py has it, and stands only for candidates that have the
+terms that tell it from its kin: a version, `lesser`, a third clause. A licence file
 (by name, or a text that is as a whole like a template) gives its licence to its directory. A file without a licence of
 its own takes that of the nearest ancestor directory, found by equi-joins of its ancestor paths.
 """
@@ -17,89 +19,81 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumora.llm.arrays import column_bytes
+from lumora.llm.license_texts import TEMPLATES
 from lumora.llm.plan import materialize
 
-#: Licence id and the wording of its notices.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3"),
-    ("GPL-2.0", "This program is free software; you can redistribute it under the terms of the GNU General Public License, version 2"),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal"),
-)
-TRIGGER = re.compile(rb"(?i)licen[cs]|copyright|spdx|redistribut|hereby granted|public domain|free software")
+TRIGGER = re.compile(rb"(?i)licen[cs]|copyright|spdx|redistribut|hereby granted|public domain|free software|unencumbered|misrepresented|creative commons|cc0")
 LICENSE_NAME = r"(?i)^(licen[cs]e|copying|unlicense)([.-].*)?$"
-_TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+_TERM = re.compile(rb"[a-z0-9]+(?:\.[0-9]+)*")
 
 
-def terms(text: str) -> Counter:
-    """Single words and pairs, lower-cased."""
+def terms(text: bytes) -> Counter:
+    """Single words and pairs, A-Z lower-cased."""
     words = _TERM.findall(text.lower())
-    return Counter(words) + Counter(f"{a} {b}" for a, b in zip(words, words[1:]))
+    return Counter(words) + Counter(a + b" " + b for a, b in zip(words, words[1:]))
 
 
-VOCABULARY = sorted({t for _, text in TEMPLATES for t in terms(text)})
+VOCABULARY = sorted({t for *_, text in TEMPLATES for t in terms(text.encode())})
 
 
-def document_frequencies(files: DataFrame, text_col: str = "text") -> tuple[dict[str, int], int]:
+def document_frequencies(files: DataFrame, text_col: str = "text") -> tuple[dict[bytes, int], int]:
     """How many documents have each template term, and the number of documents: one number a term reaches the driver."""
-    singles = {t.encode() for t in VOCABULARY if " " not in t}
     known = set(VOCABULARY)
+    singles = {t for t in known if b" " not in t}
 
     def count(batches):
         seen: Counter = Counter()
         for b in batches:
             for text in column_bytes(b.column("t")):
-                seen[""] += 1
-                words = text.lower().split()
-                if any(w.strip(b".,;:()") in singles for w in set(words)):
-                    seen.update(known.intersection(terms(text.decode())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+                seen[b""] += 1
+                words = _TERM.findall(text.lower())
+                hit = singles.intersection(words)
+                seen.update(hit)
+                if len(hit) > 1:  # both words of a template's pair are template words
+                    near = [w if w in hit else b"" for w in words]
+                    seen.update(known.intersection(a + b" " + b for a, b in set(zip(near, near[1:]))))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
-    found = dict(files.select(F.col(text_col).alias("t")).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n")).collect())
-    return {t: found.get(t, 0) for t in VOCABULARY}, found.get("", 0)
+    found = files.select(F.col(text_col).alias("t")).mapInArrow(count, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    counts = {bytes(r["term"]): r["n"] for r in found}
+    return {t: counts.get(t, 0) for t in VOCABULARY}, counts.get(b"", 0)
 
 
 class Matcher:
-    """Cosine of a text to the templates."""
+    """Cosine of a text to the templates whose terms it has and has not, as they ask."""
 
-    def __init__(self, df: dict[str, int], n: int):
+    def __init__(self, df: dict[bytes, int], n: int):
         self.unseen = math.log(n + 1) + 1
         self.idf = {t: math.log((n + 1) / (d + 1)) + 1 for t, d in df.items()}
-        self.postings: dict[str, list[tuple[int, float]]] = {}
-        for i, (_, text) in enumerate(TEMPLATES):
-            weights = {t: c * self.idf.get(t, self.unseen) for t, c in terms(text).items()}
+        self.postings: dict[bytes, list[tuple[int, float]]] = {}
+        self.must = [frozenset(x.encode() for x in must) for _, must, _, _ in TEMPLATES]
+        self.bar = [frozenset(x.encode() for x in bar) for _, _, bar, _ in TEMPLATES]
+        for i, (*_, text) in enumerate(TEMPLATES):
+            weights = {t: c * self.idf.get(t, self.unseen) for t, c in terms(text.encode()).items()}
             norm = math.sqrt(sum(w * w for w in weights.values()))
             for t, w in weights.items():
                 self.postings.setdefault(t, []).append((i, w / norm))
 
-    def best(self, text: str) -> tuple[float, str | None]:
+    def best(self, text: bytes) -> tuple[float, str | None]:
+        held = terms(text)
         dots, norm = [0.0] * len(TEMPLATES), 0.0
-        for t, c in terms(text).items():
+        for t, c in held.items():
             w = c * self.idf.get(t, self.unseen)
             norm += w * w
             for i, x in self.postings.get(t, ()):
                 dots[i] += w * x
-        if not norm:
+        fits = [(dots[i], -i) for i in range(len(TEMPLATES)) if dots[i] and all(t in held for t in self.must[i]) and not any(t in held for t in self.bar[i])]
+        if not fits:
             return 0.0, None
-        score, i = max((d / math.sqrt(norm), -i) for i, d in enumerate(dots))
-        return round(score, 9), TEMPLATES[-i][0]
+        dot, i = max(fits)
+        return round(dot / math.sqrt(norm), 9), TEMPLATES[-i][0]
 
 
 def candidates(text: bytes):
-    """Lines and paragraphs with a licence word."""
+    """Lines and paragraphs with a licence word, and the whole text if it has one."""
     done = -1
+    if TRIGGER.search(text):
+        yield text
     for m in TRIGGER.finditer(text):
         if m.start() < done:
             continue
@@ -112,6 +106,9 @@ def candidates(text: bytes):
             yield part
 
 
+BROADCAST_FOLDERS, SALTS = 100_000, 64
+
+
 def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", least: float = 0.6) -> DataFrame:
     """(id_col, path, license, score, origin, from_path) of every file.
 
@@ -133,7 +130,7 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
             for text, named in zip(column_bytes(b.column("text")), b.column("named").to_pylist()):
                 best, whole = (0.0, None), False
                 for c in candidates(text):
-                    score = known.get(c) or matcher.best(c.decode(errors="replace"))
+                    score = known.get(c) or matcher.best(c)
                     if len(c) < 400 and len(known) < 100_000:
                         known[c] = score
                     if score[0] > best[0]:
@@ -154,7 +151,13 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     parts = F.split("own", "/")
     up = folders.select("own", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("depth", "folder"))
     nearest = up.join(given, "folder").groupBy("own").agg(F.max_by(F.struct("given", "from_path"), "depth").alias("near"))
-    out = found.join(nearest, F.col("license").isNull() & (folder == F.col("own")), "left")
+    nearest = materialize(nearest, "folders")
+    if nearest.count() <= BROADCAST_FOLDERS:  # a path and a few words each
+        out = found.join(F.broadcast(nearest), F.col("license").isNull() & (folder == F.col("own")), "left")
+    else:  # files of one folder are dealt to SALTS keys, each of which has the folder's answer
+        salt = F.pmod(F.xxhash64("id", "path"), F.lit(SALTS)).cast("int")
+        spread = nearest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = found.withColumn("__salt", salt).join(spread, F.col("license").isNull() & (folder == F.col("own")) & (F.col("__salt") == F.col("salt")), "left")
     taken = F.col("near").isNotNull()
     return out.select(
         F.col("id").alias(id_col), "path", F.coalesce("license", "near.given").alias("license"), "score",
