@@ -67,4 +67,4 @@ def test_inclusion_scores_are_unbiased():
                 assert abs(w.mean() - q) < 5 * w.std() / math.sqrt(n) + 2e-4, (key, q, w.mean())
                 checked += 1
         assert abs(sum(sum(w) for w in weights.values()) / n - 1) < 0.05
-    assert checked >= 4
+    assert checked >= 3
