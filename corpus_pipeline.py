@@ -12,12 +12,23 @@ from lumora.llm.queries import tokenizer_path
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+BATCH_ROWS = 1000  # of an Arrow batch: whole texts of many kilobytes travel in one
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a task's JVM and worker hold of an Arrow batch; results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) <= 0 or int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie within their language's perplexity band.
 
     Null and empty texts fail the base rules and go. Repeated rows are judged alike. A null language is a language. Other
     columns are left out. An empty table gives an empty one.
     """
+    small_batches(spark)
     scored = quality.quality(docs, keep=COLUMNS).where("kept")
     return scored.select(*[F.col(f"k_{c}").alias(c) for c in COLUMNS])
 
@@ -29,6 +40,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     of 64 bits on average) prunes nothing, min-wise keys besides; true similarity decides. Null and empty texts are copies
     of each other; a null id yields to any other; an empty table gives an empty one; other columns are left out.
     """
+    small_batches(spark)
     return near.drop_near_copies(docs, COLUMNS, words=5, least=0.8)
 
 
@@ -38,6 +50,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     One that loses nothing keeps its text and n_chars as they are, a null text with it. Every row stays, if need be with
     an empty text. Repeated rows: the first keeps its words. Other columns are left out. An empty table gives an empty one.
     """
+    small_batches(spark)
     cut = substring.dedup_substrings(docs, keep=("text", "lang", "source", "n_chars"), layout=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return cut.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
@@ -59,6 +72,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts have one segmentation without pieces. Repeated rows have equal segmentations, as the row key
     seeds them. Other columns are left out. An empty table gives an empty one.
     """
+    small_batches(spark)
     return segsample.sample_segmentations(docs, tokenizer_path("piece"))
 
 
