@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm import embed_graph, licenses, mixing, quality, segsample, simhash, substring, suffix, url_filter, wavelet
+from lumora.llm import centroids, embed_graph, exact, licenses, merkle, mixing, quality, segsample, simhash, substring, suffix, url_filter, wavelet
 
 TOKENIZERS = {"word": "word_bpe_49k.json", "piece": "piece_bpe_32k.model"}
 
@@ -69,11 +69,24 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = merkle.manifest(_table(spark, sf_dir, "documents"), tampered=merkle.sevenths())
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_substring_dedup, op3_embedding_dedup, op4_simhash_dedup, op5_wavelet_tokens, op6_suffix_dedup, op7_license_scan, op8_url_filter, op9_segment_sampling, op10_source_mix, pipeline)}
-ORACLES = {"op8_url_filter": url_filter.ORACLE, "op10_source_mix": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_substring_dedup, op3_embedding_dedup, op4_simhash_dedup, op5_wavelet_tokens, op6_suffix_dedup, op7_license_scan, op8_url_filter, op9_segment_sampling, op10_source_mix, op11_merkle_manifest, op12_exact_dedup, op13_centroid_clusters, pipeline)}
+ORACLES = {"op8_url_filter": url_filter.ORACLE, "op10_source_mix": mixing.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_exact_dedup": exact.ORACLE, "op13_centroid_clusters": centroids.ORACLE}
