@@ -1,53 +1,195 @@
-"""Near-duplicate texts by TF-IDF cosine: an exact join on rare terms."""
+"""Near-duplicate texts by TF-IDF cosine: an exact join over an inverted index of each text's first terms.
+
+A text is a unit vector over at most `most_terms` terms. Terms have one order for all texts, those first that few texts have
+with much weight. Two vectors that meet first at some term have a cosine of at most the product of their norms from there on;
+so a text is listed under its terms only as long as the norm left allows the threshold, and with the whole vector. Within a
+list, pairs must pass that bound and a sketch (the heaviest terms and the norms of groups of the others, whose product is
+never below the cosine) before their cosine is computed. A pair is given at its first common term alone, so nothing has to be
+deduplicated. Long lists are cut to blocks that meet pairwise in tasks of their own.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+import re
+import unicodedata
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumora.session import settled
 
-#: Letters with accents and what stands for them.
-ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+WORD = re.compile(r"\w{2,}")
+HEAVY, GROUPS = 64, 192  # numbers of a sketch
+BLOCK = 1024  # rows of a list that meet as one
+SLACK = 1e-9
+
+
+def terms(text: str) -> list[str]:
+    """Words of two or more characters and pairs of neighbours, in lower case; accents and other marks are taken off."""
+    text = text.lower()
+    if not text.isascii():
+        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    words = WORD.findall(text)
+    return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
+def _counted(groups: DataFrame, id_type: str) -> DataFrame:
+    """(rep, size, length, term, tf) of (rep, size, t): one row a text, its terms in arrays; length is the norm of tf."""
 
+    def count(batches):
+        for batch in batches:
+            found = [Counter(terms(t)) for t in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_pydict({
+                "rep": batch.column("rep"), "size": batch.column("size"),
+                "length": np.array([math.sqrt(sum(n * n for n in c.values())) for c in found], np.float64),
+                "term": pa.array([list(c) for c in found], pa.list_(pa.string())), "tf": pa.array([list(c.values()) for c in found], pa.list_(pa.int64())),
+            })
 
-def terms(text: Column) -> Column:
-    """Words of two or more characters and pairs of neighbours, in lower case without accents."""
-    words = F.regexp_extract_all(F.translate(F.lower(text), *ACCENTS), F.lit(r"(?U)\w{2,}"), F.lit(0))
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))
+    return groups.mapInArrow(count, f"rep {id_type}, size long, length double, term array<string>, tf array<long>")
 
 
 def weighted_terms(df: DataFrame, id_col: str, text_col: str, most_terms: int = 5000, min_df: int = 2) -> DataFrame:
-    """(rep, term, df, w): L2-normed TF-IDF of each distinct text, named by its smallest id.
+    """(rep, ranks, w): the L2-normed TF-IDF vector of each distinct text, named by its smallest id, ranks ascending.
 
     Equal texts are one row, but count as often as they come. The vocabulary is the `most_terms` commonest terms in `min_df`
-    rows or more, so it is broadcast whatever the input's size.
+    rows or more, so the driver and all tasks can hold it whatever the input's size; a term's rank is its place in the
+    order of the join. Null texts and texts without a term of the vocabulary have no row.
     """
     groups = df.where(F.col(text_col).isNotNull()).groupBy(F.sha2(text_col, 256).alias("k")).agg(F.min(id_col).alias("rep"), F.count("*").alias("size"), F.min(text_col).alias("t"))
+    id_type = df.schema[id_col].dataType.simpleString()
+    counted = settled(_counted(groups.select("rep", "size", "t"), id_type))
     n = df.count()
-    each = groups.select("rep", "size", F.explode(terms(F.col("t"))).alias("term")).groupBy("rep", "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
-    vocabulary = each.groupBy("term").agg(F.sum("size").alias("df"), F.sum(F.col("tf") * F.col("size")).alias("cf")).where(F.col("df") >= min_df).orderBy(F.desc("cf"), "term").limit(most_terms)
-    raw = each.join(F.broadcast(vocabulary.select("term", "df")), "term").select("rep", "term", "df", (F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("raw"))
-    return raw.withColumn("w", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("rep")))).drop("raw")
+    each = counted.select("size", "length", F.explode(F.arrays_zip("term", "tf")).alias("e")).select("size", "length", "e.term", "e.tf")
+    mass = F.sum((F.col("tf") / F.col("length")) ** 2)
+    common = each.groupBy("term").agg(F.sum("size").alias("df"), F.sum(F.col("tf") * F.col("size")).alias("cf"), F.count("*").alias("texts"), mass.alias("mass"))
+    vocabulary = common.where(F.col("df") >= min_df).orderBy(F.desc("cf"), "term").limit(most_terms).collect()
+    weight = {r.term: math.log((1 + n) / (1 + r.df)) + 1 for r in vocabulary}
+    ordered = sorted(vocabulary, key=lambda r: (r.texts**2 / (r.mass * weight[r.term] ** 2), r.term))
+    known = {r.term: (k, weight[r.term]) for k, r in enumerate(ordered)}
+
+    def weigh(batches):
+        for batch in batches:
+            reps, ranks, weights = [], [], []
+            for i, (words, tf) in enumerate(zip(batch.column("term").to_pylist(), batch.column("tf").to_pylist())):
+                v = sorted((known[t][0], k * known[t][1]) for t, k in zip(words, tf) if t in known)
+                if v:
+                    norm = math.sqrt(sum(x * x for _, x in v))
+                    reps.append(i)
+                    ranks.append([r for r, _ in v])
+                    weights.append([x / norm for _, x in v])
+            yield pa.RecordBatch.from_pydict({"rep": batch.column("rep").take(pa.array(reps, pa.int64())), "ranks": pa.array(ranks, pa.list_(pa.int32())), "w": pa.array(weights, pa.list_(pa.float64()))})
+
+    return counted.select("rep", "term", "tf").mapInArrow(weigh, f"rep {id_type}, ranks array<int>, w array<double>")
+
+
+def _lists(table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets, ranks and weights of the vectors of an Arrow table or batch."""
+    ranks, w = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (table.column("ranks"), table.column("w")))
+    offsets = np.concatenate(([0], np.cumsum(ranks.value_lengths().to_numpy())))
+    return offsets, ranks.flatten().to_numpy(), w.flatten().to_numpy()
+
+
+def _heads(offsets: np.ndarray, w: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries are listed, and the square of the norm from each entry on."""
+    upto = np.concatenate(([0.0], np.cumsum(w * w)))
+    rest = np.repeat(upto[offsets[1:]], np.diff(offsets)) - upto[:-1]
+    rest = np.maximum(rest, 0.0)
+    return rest >= least * least - SLACK, rest
+
+
+def _sketch(offsets: np.ndarray, ranks: np.ndarray, w: np.ndarray, place: np.ndarray) -> np.ndarray:
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    cells = np.bincount(row * (HEAVY + GROUPS) + place[ranks], w * w, (len(offsets) - 1) * (HEAVY + GROUPS))
+    return np.sqrt(cells).astype(np.float32).reshape(-1, HEAVY + GROUPS)
+
+
+def _cosines(p: int, others: np.ndarray, offsets: np.ndarray, ranks: np.ndarray, w: np.ndarray, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cosine of vector p with each of others, and their first common term."""
+    mine = slice(offsets[p], offsets[p + 1])
+    dense[ranks[mine]] = w[mine]
+    size = offsets[others + 1] - offsets[others]
+    begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+    at = np.repeat(offsets[others] - begin, size) + np.arange(size.sum())
+    parts = dense[ranks[at]]
+    first = np.minimum.reduceat(np.where(parts > 0, ranks[at], len(dense)), begin)
+    total = np.add.reduceat(parts * w[at], begin)
+    dense[ranks[mine]] = 0.0
+    return total, first
 
 
 def near_pairs(weighted: DataFrame, least: float = 0.92) -> DataFrame:
-    """(a, b, similarity) of distinct texts with a cosine of `least` or more; a < b.
+    """(a, b, similarity) of distinct texts with a cosine of `least` or more; a < b. weighted is what weighted_terms gives, stored."""
+    id_type = weighted.schema["rep"].dataType.simpleString()
 
-    Terms are ordered by rarity. What two texts share starts at some first common term, and their cosine is at most the
-    product of the norms from there on; so only pairs whose product reaches the threshold at a common term are compared,
-    and no pair above it is missed.
-    """
-    before = Window.partitionBy("rep").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
-    rest = 1 - F.coalesce(F.sum(F.col("w") * F.col("w")).over(before), F.lit(0.0))
-    slack = 1e-9
-    heads = weighted.withColumn("rest", rest).where(F.col("rest") >= least * least - slack).select("rep", "term", "rest")
-    x, y = heads.toDF("a", "term", "rx"), heads.toDF("b", "term", "ry")
-    candidates = x.join(y, "term").where((F.col("a") < F.col("b")) & (F.col("rx") * F.col("ry") >= least * least - slack)).select("a", "b").distinct()
-    left, right = weighted.select(F.col("rep").alias("a"), "term", F.col("w").alias("wa")), weighted.select(F.col("rep").alias("b"), "term", F.col("w").alias("wb"))
-    scored = candidates.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
-    return scored.where(F.col("similarity") >= least - slack)
+    def facts(batches):
+        """How many texts list each term, and each term's mass; a task sends a row a term."""
+        count, mass = np.zeros(0, np.int64), np.zeros(0)
+        for batch in batches:
+            offsets, ranks, w = _lists(batch)
+            head, _ = _heads(offsets, w, least)
+            most = max(len(count), int(ranks.max(initial=-1)) + 1)
+            count = np.pad(count, (0, most - len(count))) + np.bincount(ranks[head], minlength=most)
+            mass = np.pad(mass, (0, most - len(mass))) + np.bincount(ranks, w * w, most)
+        yield pa.RecordBatch.from_pydict({"rank": np.arange(len(count), dtype=np.int32), "n": count, "mass": mass})
+
+    seen = weighted.select("ranks", "w").mapInArrow(facts, "rank int, n long, mass double").groupBy("rank").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass")).collect()  # a row a term
+    size = 1 + max((r["rank"] for r in seen), default=0)
+    blocks, mass = np.ones(size, np.int64), np.zeros(size)
+    for r in seen:
+        blocks[r["rank"]], mass[r["rank"]] = max(1, -(-r.n // BLOCK)), r.mass
+    place = HEAVY + np.arange(size) % GROUPS
+    heavy = np.argsort(-mass, kind="stable")[:HEAVY]
+    place[heavy] = np.arange(len(heavy))
+
+    def post(batches):
+        """A vector for each list and pair of blocks it meets in."""
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                batch = whole.slice(i, 256)
+                offsets, ranks, w = _lists(batch)
+                head, rest = _heads(offsets, w, least)
+                at = np.flatnonzero(head)
+                row = (np.searchsorted(offsets, at, side="right") - 1).astype(np.int64)
+                n = blocks[ranks[at]]
+                own = (batch.column("h").to_numpy().view(np.uint64)[row] % n.astype(np.uint64)).astype(np.int64)
+                k = np.repeat(np.arange(len(at)), n)
+                other = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+                for j in range(0, len(k), 4096):
+                    part, met = k[j : j + 4096], other[j : j + 4096]
+                    taken = batch.take(pa.array(row[part]))
+                    mine = own[part]
+                    yield pa.RecordBatch.from_pydict({"term": ranks[at[part]].astype(np.int32), "i": np.minimum(mine, met), "j": np.maximum(mine, met), "own": mine, "rest": rest[at[part]], "rep": taken.column("rep"), "ranks": taken.column("ranks"), "w": taken.column("w")})
+
+    def meet(table: pa.Table) -> pa.Table:
+        term, i, j = (table.column(c)[0].as_py() for c in ("term", "i", "j"))
+        offsets, ranks, w = _lists(table)
+        own, rest, reps = table.column("own").to_numpy(), table.column("rest").to_numpy(), table.column("rep")
+        sketch, dense = _sketch(offsets, ranks, w, place), np.zeros(size)
+        left = np.flatnonzero(own == i)
+        right = left if i == j else np.flatnonzero(own == j)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for at in range(0, len(left), 256):
+            some = left[at : at + 256]
+            good = (sketch[some] @ sketch[right].T >= least - 1e-5) & (rest[some][:, None] * rest[right] >= least * least - SLACK)
+            if i == j:
+                good &= some[:, None] < right
+            for p in np.flatnonzero(good.any(1)):
+                others = right[good[p]]
+                cosine, first = _cosines(some[p], others, offsets, ranks, w, dense)
+                keep = (cosine >= least - SLACK) & (first == term)
+                found.append((np.full(keep.sum(), some[p]), others[keep], cosine[keep]))
+        a, b, s = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        x, y = reps.take(pa.array(a.astype(np.int64))).to_pylist(), reps.take(pa.array(b.astype(np.int64))).to_pylist()
+        turned = [(q, p) if q < p else (p, q) for p, q in zip(x, y)]
+        kind = reps.type
+        return pa.table({"a": pa.array([t[0] for t in turned], kind), "b": pa.array([t[1] for t in turned], kind), "similarity": s})
+
+    listed = weighted.select("rep", F.xxhash64("rep").alias("h"), "ranks", "w").mapInArrow(post, f"term int, i long, j long, own long, rest double, rep {id_type}, ranks array<int>, w array<double>")
+    return listed.groupBy("term", "i", "j").applyInArrow(meet, f"a {id_type}, b {id_type}, similarity double")
 
 
 def nearest_rows(df: DataFrame, id_col: str, text_col: str, least: float = 0.92) -> DataFrame:
@@ -59,9 +201,9 @@ def nearest_rows(df: DataFrame, id_col: str, text_col: str, least: float = 0.92)
     rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.sha2(text_col, 256).alias("k"))
     groups = rows.groupBy("k").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
     second = rows.join(groups, "k").where("id > rep").groupBy("k").agg(F.min("id").alias("second"))
-    known = weighted.select(F.col("rep").alias("__rep")).distinct()
+    known = weighted.select(F.col("rep").alias("__rep"))
     groups = groups.join(second, "k", "left").join(known, F.col("rep") == F.col("__rep"), "left_semi")
-    pairs = near_pairs(weighted, least).withColumn("similarity", F.round("similarity", 9))
+    pairs = settled(near_pairs(weighted, least)).withColumn("similarity", F.round("similarity", 9))
     both = pairs.select(F.col("a").alias("__rep"), F.col("b").alias("o"), "similarity").unionAll(pairs.select(F.col("b").alias("__rep"), F.col("a").alias("o"), "similarity"))
     best = both.groupBy("__rep").agg(F.max(F.struct("similarity", (-F.col("o")).alias("o"))).alias("best"))
     held = groups.join(best, F.col("rep") == F.col("__rep"), "left").select("k", "rep", "second", "best")

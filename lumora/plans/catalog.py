@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumora.functions import text as T
-from lumora.operators import metrics, rules, sampling, similarity, store, survey
+from lumora.operators import metrics, rules, sampling, store, survey
 from lumora.sources import files
 
 QUERIES: dict = {}
@@ -40,7 +40,7 @@ def _reasons(rules_) -> str:
     return f"array_to_string(list_sort(list_filter([{items}], lambda x: x IS NOT NULL)), ';')"
 
 
-_LOW = f"translate(lower(t), '{similarity.ACCENTS[0]}', '{similarity.ACCENTS[1]}')"
+_LOW = "strip_accents(lower(t))"
 #: CTEs that end in near_rows: each row's most similar other row among all, by brute force over the distinct texts.
 NEAR = rf"""
 ng AS (SELECT min(doc_id) AS rep, count(*) AS size, text AS t FROM documents WHERE text IS NOT NULL GROUP BY text),
@@ -121,9 +121,9 @@ def survey_reasons_top(spark, sf_dir):
     return survey.top_reasons(_scored(spark, sf_dir, near_id="doc_id"))
 
 
-@query(survey_sql(threshold=LOW) + "SELECT doc_id, risk_score FROM scored WHERE NOT flagged")
+@query(survey_sql(threshold=LOW, near=True) + "SELECT doc_id, risk_score FROM scored WHERE NOT flagged")
 def survey_cleaned(spark, sf_dir):
-    return survey.cleaned(_scored(spark, sf_dir, threshold=LOW)).select("doc_id", "risk_score")
+    return survey.cleaned(_scored(spark, sf_dir, threshold=LOW, near_id="doc_id")).select("doc_id", "risk_score")
 
 
 @query(r"SELECT md5(trim(regexp_replace(coalesce(text, 'nan'), '\s+', ' ', 'g'))) AS norm_md5, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) >= 2")

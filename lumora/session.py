@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,8 +26,29 @@ def local_session(cores: int | None = None, partitions: int | None = None) -> Sp
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only a local session without that setting, as in tests, uses one under /tmp."""
+    folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if folder:
+        return folder
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file:///tmp/checkpoints"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once for several readers: a reliable checkpoint where spark.checkpoint.dir names a folder, else persisted on disk."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist(StorageLevel.DISK_ONLY)
+    """df as a table in the shared folder, computed once for several readers; it survives lost executors. released() deletes it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/lumora-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_path = path
+    return out
+
+
+def released(df: DataFrame) -> None:
+    """Deletes a table of settled() that nothing reads any more."""
+    path = getattr(df, "_settled_path", None)
+    if path:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
