@@ -34,7 +34,6 @@ IMPORTS = {
     "rust": (r"use\s+[\w:]+",),
 }
 ALIASES = {"py": "python", "js": "javascript", "c++": "cpp", "cs": "csharp", "ts": "javascript", "tsx": "javascript", "jsx": "javascript"}
-#: Classes of tokens that don't depend on the language.
 #: Token classes of five languages, their keywords, names and comments, and the keywords of two groups.
 TOKENS = {"operators": r"[+\-*/%=<>!&|^~]", "delimiters": r"[(){}\[\].,;:]", "numbers": r"\b\d+\.?\d*\b", "whitespace": r"\s+"}
 KEYWORDS = {

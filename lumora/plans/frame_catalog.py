@@ -253,16 +253,6 @@ def feature_category(spark, sf_dir):
     return spark.createDataFrame([(f,) for f in _FEATURES], "feature string").select("feature", bi.feature_category(F.col("feature")).alias("category"))
 
 
-_TREE = "event_id % 11 / 10.0 AS code_organization_score, event_id % 7 / 6.0 AS type_hint_ratio, event_id % 13 / 12.0 AS variable_naming_score, event_id % 5 / 4.0 AS exception_handling_ratio, event_id % 9 / 8.0 AS docstring_ratio, event_id % 30 AS cyclomatic_complexity, event_id % 3 AS function_count, event_id % 2 AS class_count"
-
-
-@query(f"""WITH f AS (SELECT event_id, {_TREE} FROM events), s AS (SELECT event_id, {rules.tree_score_sql(1)} AS m, {rules.tree_score_sql(2)} AS h FROM f)
-SELECT event_id, round(m, 6) AS machine, round(h, 6) AS human, CASE WHEN m + h = 0 THEN 0.5 ELSE round(greatest(0.5, least(0.95, greatest(m / (m + h), 1 - m / (m + h)))), 6) END AS confidence, CASE WHEN m + h > 0 AND m / (m + h) > 0.5 THEN 1 ELSE 0 END::INT AS prediction FROM s""")
-def tree_confidence(spark, sf_dir):
-    df = table(spark, sf_dir, "events").selectExpr("event_id", *_TREE.split(", "))
-    return df.select("event_id", *[c.alias(n) for n, c in rules.tree_confidence().items()])
-
-
 @query("""WITH s AS (SELECT event_id, 0.6 * (1 - b / (b + 1)) + 0.4 * m AS s FROM (SELECT event_id, value / 100 AS b, (event_id % 101) / 100.0::DOUBLE AS m FROM events))
 SELECT event_id, round(s, 6) AS score, CASE WHEN s >= 0.75 THEN 'machine' WHEN s <= 0.35 THEN 'human' ELSE 'uncertain' END AS label FROM s""")
 def legacy_survey_label(spark, sf_dir):
