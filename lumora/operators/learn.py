@@ -165,10 +165,9 @@ def text_classifier(df: DataFrame, text: str, y: str, terms: int = 100):
 
 
 def attributions(model, df: DataFrame, features: list[str]) -> DataFrame:
-    """(feature, mean_abs): the mean absolute standardised value of each feature times its importance: what to export where no tree explainer is at hand."""
-    from lumora.operators.frames import mean_abs
+    """(feature, mean_abs): for trees the mean absolute Shapley value of each feature over all rows, else its importance."""
+    if not hasattr(model.stages[-1], "trees"):
+        return df.sparkSession.createDataFrame(importances(model, features), "feature string, mean_abs double")
+    from lumora.operators.explain import mean_contributions
 
-    parts = vector_to_array("features")
-    scaled = model.transform(df).select(*[parts[i].alias(f) for i, f in enumerate(features)])
-    weight = F.create_map(*[F.lit(x) for pair in importances(model, features) for x in pair])
-    return mean_abs(scaled, features).select("feature", (F.col("mean_abs") * weight[F.col("feature")]).alias("mean_abs"))
+    return mean_contributions(model, df.withColumn("__key", F.lit(0)), "__key", features).select("feature", "mean_abs")

@@ -253,13 +253,6 @@ def feature_category(spark, sf_dir):
     return spark.createDataFrame([(f,) for f in _FEATURES], "feature string").select("feature", bi.feature_category(F.col("feature")).alias("category"))
 
 
-@query("""WITH s AS (SELECT event_id, 0.6 * (1 - b / (b + 1)) + 0.4 * m AS s FROM (SELECT event_id, value / 100 AS b, (event_id % 101) / 100.0::DOUBLE AS m FROM events))
-SELECT event_id, round(s, 6) AS score, CASE WHEN s >= 0.75 THEN 'machine' WHEN s <= 0.35 THEN 'human' ELSE 'uncertain' END AS label FROM s""")
-def legacy_survey_label(spark, sf_dir):
-    score, label = rules.survey_label(F.col("value") / 100, (F.col("event_id") % 101) / 100)
-    return table(spark, sf_dir, "events").select("event_id", score.alias("score"), label.alias("label"))
-
-
 @query("""WITH x AS (SELECT user_id, list_transform(list(value ORDER BY event_id)[:10], lambda v: least(v, 100.0::DOUBLE)) AS p FROM events GROUP BY user_id)
 SELECT user_id, CASE WHEN len(p) >= 2 AND list_avg(p) <> 0 THEN round(list_stddev_pop(p) / list_avg(p), 6) ELSE 0.0 END AS burstiness FROM x""")
 def burstiness(spark, sf_dir):
