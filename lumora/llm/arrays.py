@@ -68,6 +68,26 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def equal_spans(a: bytes, a_at: np.ndarray, b: bytes, b_at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether spans of two buffers hold the same bytes; each buffer ends in 8 bytes that no span has."""
+    x, y = (np.ndarray((len(raw) - 7,), "<u8", buffer=raw, strides=(1,)) for raw in (a, b))
+    out, live, done = np.ones(len(size), bool), np.flatnonzero((size > 0) & (size <= _LONG_SPAN)), 0
+    for i in np.flatnonzero(size > _LONG_SPAN):
+        out[i] = a[a_at[i] : a_at[i] + size[i]] == b[b_at[i] : b_at[i] + size[i]]
+    while len(live):
+        left = size[live] - done
+        same = (x[a_at[live] + done] ^ y[b_at[live] + done]) & _MASK[np.minimum(left, 8)] == 0
+        out[live[~same]] = False
+        done += 8
+        live = live[same & (left > 8)]
+    return out
+
+
+def pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A number for each pair of numbers, the same for equal pairs alone; both count from 0."""
+    return np.unique(x.astype(np.int64) * (int(y.max(initial=0)) + 1) + y, return_inverse=True)[1]
+
+
 class Slice:
     """Some texts in one buffer, each followed by a line feed, and 8 bytes of padding."""
 
@@ -104,6 +124,22 @@ class Slice:
         return h
 
 
+    def numbers(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(the first span of each distinct one, each span's number among those, hashes): told apart by their bytes.
+
+        Hashes group the spans, and each is compared with the first of its group; if one differs, all are told apart anew.
+        """
+        h, size = self.hashes(starts, ends), ends - starts
+        _, first, number = np.unique(h, return_index=True, return_inverse=True)
+        like = first[number]
+        good = size == size[like]
+        if good.all() and equal_spans(self.raw, starts, self.raw, starts[like], size).all():
+            return first, number, h
+        seen: dict[bytes, int] = {}
+        number = np.fromiter((seen.setdefault(self.raw[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist())), np.int64, len(starts))
+        return np.unique(number, return_index=True)[1], number, h
+
+
 def slices(texts: list[bytes], most: int = 1 << 21):
     """(index of the first text, Slice) with about `most` bytes each; a longer text stands alone."""
     first, size = 0, 0

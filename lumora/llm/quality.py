@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumora.llm.arrays import BASE, SPACE, Slice, column_bytes, covered, slices, window_hashes
+from lumora.llm.arrays import BASE, SPACE, Slice, column_bytes, covered, pairs, slices
 from lumora.llm.plan import drop, materialize
 
 ORDER = 5
@@ -56,13 +56,16 @@ def text_counts(s: Slice) -> dict[str, np.ndarray]:
     worded = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_starts, line_ends = line_starts[worded], line_ends[worded]
     of_text = np.searchsorted(s.offsets, line_starts, side="right") - 1
-    key = s.hashes(line_starts, line_ends) ^ (of_text.astype(np.uint64) * np.uint64(BASE))
-    distinct = np.unique(key, return_index=True)[1]
+    distinct = np.unique(of_text * (len(line_starts) + 1) + s.numbers(line_starts, line_ends)[1], return_index=True)[1]
     out["n_dup_lines"] = np.bincount(of_text, minlength=texts) - np.bincount(of_text[distinct], minlength=texts)
 
-    at, windows = window_hashes(s.hashes(starts, ends), first, 5)
+    one = s.numbers(starts, ends)[1]  # words by number, then runs of two, four and five
+    at = np.flatnonzero(np.arange(len(starts)) + 5 <= np.repeat(first[1:], n_words))
+    two = pairs(one[:-1], one[1:])
+    four = pairs(two[:-2], two[2:])
+    windows = pairs(four[:-1], one[4:])[at] if len(at) else at
     of_text = np.searchsorted(first, at, side="right") - 1
-    _, index, count = np.unique(windows ^ (of_text.astype(np.uint64) * np.uint64(BASE)), return_inverse=True, return_counts=True)
+    _, index, count = np.unique(of_text * (len(starts) + 1) + windows, return_inverse=True, return_counts=True)
     total = np.concatenate(([0], np.cumsum(covered(len(starts), at[count[index] > 1], 5))))
     out["n_repeat_words"] = total[first[1:]] - total[first[:-1]]
     return out

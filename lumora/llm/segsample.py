@@ -233,7 +233,7 @@ class Sampler:
         ends = np.append(starts[1:], len(space))
         of = np.repeat(np.arange(self.n), np.diff(self.doc_unit))
         ends = np.minimum(ends, s.offsets[of + 1] - 1)
-        distinct, where, self.unit = np.unique(s.hashes(starts, ends), return_index=True, return_inverse=True)
+        where, self.unit, _ = s.numbers(starts, ends)
         self.lattices = Lattices(v, [s.raw[starts[i] : ends[i]] for i in where.tolist()])
         self.units = self.lattices.start[self.unit]
         self.unit_doc = of

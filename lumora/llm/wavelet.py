@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumora.llm.arrays import Slice, column_bytes, slices
+from lumora.llm.arrays import Slice, column_bytes, equal_spans, slices
 from lumora.llm.plan import CHUNK, doc_order, in_chunks, materialize
 
 MAGIC = b"WVM1"
@@ -197,7 +197,8 @@ class WordEncoder:
     A tokenizer with RULES drops white space and splits at it, so a text's ids are those of its words in a row. Words of
     ASCII and Latin letters without the tokenizer's special strings are their own normal form but for case, so they take a
     short way: their pieces go to the library's model. Other words go through the whole tokenizer. Words met before are
-    found by their hash in open-addressed arrays, of at most `most` words; then they start anew.
+    found by their hash in open-addressed arrays, of at most `most` words, and compared byte by byte; then they start anew.
+    Of words with one hash the first has the place, others are found by their bytes.
     """
 
     def __init__(self, path: str, most: int = 1 << 21):
@@ -213,6 +214,7 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.slots = np.full(1 << _SLOTS, -1, np.int32)
+        self.raw, self.at, self.long, self.odd = bytes(8), np.zeros(0, np.int64), np.zeros(0, np.int64), {}  # the words' bytes
         self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
 
@@ -261,6 +263,9 @@ class WordEncoder:
     def _add(self, hashes: np.ndarray, words: list[bytes]) -> None:
         ids, size = self.encode_words(words)
         number = np.arange(len(self.keys), len(self.keys) + len(hashes), dtype=np.int32)
+        long = np.fromiter(map(len, words), np.int64, len(words))
+        self.at = np.concatenate((self.at, len(self.raw) - 8 + np.cumsum(long) - long))
+        self.long, self.raw = np.concatenate((self.long, long)), b"".join((self.raw[:-8], *words, bytes(8)))
         self.begin = np.concatenate((self.begin, (len(self.flat) + np.cumsum(size) - size).astype(np.int32)))
         self.flat = np.concatenate((self.flat, ids.astype(self.flat.dtype)))
         self.keys, self.size = np.concatenate((self.keys, hashes)), np.concatenate((self.size, size.astype(np.int32)))
@@ -271,20 +276,30 @@ class WordEncoder:
             self.slots[at[free]] = number[live[free]]
             live = live[self.slots[at] != number[live]]
             slot[live] = (slot[live] + 1) & ((1 << _SLOTS) - 1)
+        for i in np.flatnonzero(self._find(hashes) != number).tolist():
+            self.odd[words[i]] = int(number[i])
 
     def __call__(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
         """The number of every word of a slice, and each text's first word (one more at the end)."""
         starts, ends, first = s.words()
-        hashes = s.hashes(starts, ends)
+        where, number, hashes = s.numbers(starts, ends)
         if len(self.keys) > self.most:
             self.clear()
+        begin, size, hashes = starts[where], ends[where] - starts[where], hashes[where]
+        word = lambda i: s.raw[begin[i] : begin[i] + size[i]]
         index = self._find(hashes)
+        held = np.flatnonzero(index >= 0)
+        other = self.long[index[held]] != size[held]
+        some = held[~other]
+        other[~other] = ~equal_spans(s.raw, begin[some], self.raw, self.at[index[some]], size[some])
+        for i in held[other].tolist():
+            index[i] = self.odd.get(word(i), -1)
         new = np.flatnonzero(index < 0)
         if len(new):
-            distinct, where, inverse = np.unique(hashes[new], return_index=True, return_inverse=True)
             known = len(self.keys)
-            self._add(distinct, [s.raw[starts[i] : ends[i]] for i in new[where].tolist()])
-            index[new] = known + inverse
+            self._add(hashes[new], [word(i) for i in new.tolist()])
+            index[new] = known + np.arange(len(new))
+        index = index[number]
         return index, first
 
 
