@@ -245,12 +245,15 @@ def style_heuristics(spark, sf_dir):
     return parts.select("doc_id", F.round(F.expr(S.style_sql(S.MACHINE)), 6).alias("machine"), F.round(F.expr(S.style_sql(S.HUMAN)), 6).alias("human"), F.round("diversity", 6).alias("diversity"), F.round("top_line", 6).alias("top_line"), "rich")
 
 
-_FEATURES = ("ast_depth", "unique_tokens", "doc_length", "variable_naming_score", "line_count", "indent_style", "entropy", "Keyword_Size", "space_ratio", "comment_name")
+_MEASURED = {"doc_length": "length(text)", "line_count": "length(text) - length(replace(text, chr(10), '')) + 1", "space_ratio": "length(text) - length(replace(text, ' ', ''))", "n_chars_seen": "n_chars"}
+_CATEGORY = {"doc_length": "documentation", "line_count": "statistical", "space_ratio": "stylistic", "n_chars_seen": "other"}
 
 
-@query("SELECT unnest([" + ", ".join(f"'{f}'" for f in _FEATURES) + "]) AS feature, unnest(['structural', 'lexical', 'documentation', 'naming', 'statistical', 'stylistic', 'other', 'lexical', 'stylistic', 'documentation']) AS category")
+@query(" UNION ALL ".join(f"SELECT doc_id, '{f}' AS feature, '{_CATEGORY[f]}' AS category, ({e})::DOUBLE AS value FROM documents" for f, e in _MEASURED.items()))
 def feature_category(spark, sf_dir):
-    return spark.createDataFrame([(f,) for f in _FEATURES], "feature string").select("feature", bi.feature_category(F.col("feature")).alias("category"))
+    """A row for each document and feature, with the feature's category."""
+    wide = table(spark, sf_dir, "documents").select("doc_id", *[F.expr(e).cast("double").alias(f) for f, e in _MEASURED.items()])
+    return wide.unpivot("doc_id", list(_MEASURED), "feature", "value").select("doc_id", "feature", bi.feature_category(F.col("feature")).alias("category"), "value")
 
 
 @query("""WITH x AS (SELECT user_id, list_transform(list(value ORDER BY event_id)[:10], lambda v: least(v, 100.0::DOUBLE)) AS p FROM events GROUP BY user_id)
