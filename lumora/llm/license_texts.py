@@ -79,6 +79,12 @@ TEMPLATES = [
     ("CC0-1.0", ("cc0",), (), "Dedicated to the public domain under CC0 1.0 Universal"),
     ("CC0-1.0", ("cc0",), (), "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0 Universal"),
 ]
+TEMPLATES += [
+    ("EPL-2.0", ("eclipse", "2.0"), (), "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL-2.0", ("eclipse", "2.0"), (), "Eclipse Public License - v 2.0"),
+    ("BSL-1.0", ("boost", "1.0"), (), "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"),
+    ("BSL-1.0", ("boost", "1.0"), (), "Boost Software License - Version 1.0 - August 17th, 2003"),
+]
 #: Headings that open a licence's file.
 TEMPLATES += [
     ("Apache-2.0", ("apache", "2.0"), (), "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
@@ -96,6 +102,7 @@ TAGGED = {
     "Apache-2.0": ("apache", "2.0"), "MIT": ("mit",), "BSD-2-Clause": ("bsd", "2"), "BSD-3-Clause": ("bsd", "3"), "ISC": ("isc",), "Zlib": ("zlib",), "Unlicense": ("unlicense",),
     "MPL-2.0": ("mpl", "2.0"), "GPL-2.0": ("gpl", "2.0"), "GPL-3.0": ("gpl", "3.0"), "LGPL-2.1": ("lgpl", "2.1"), "LGPL-3.0": ("lgpl", "3.0"), "AGPL-3.0": ("agpl", "3.0"),
     "CC-BY-4.0": ("cc", "by", "4.0"), "CC-BY-SA-4.0": ("cc", "sa", "4.0"), "CC-BY-NC-4.0": ("cc", "nc", "4.0"), "CC0-1.0": ("cc0", "1.0"),
+    "EPL-2.0": ("epl", "2.0"), "BSL-1.0": ("bsl", "1.0"), "0BSD": ("0bsd",), "EUPL-1.2": ("eupl", "1.2"), "Artistic-2.0": ("artistic", "2.0"),
 }
 _BARRED = {"CC-BY-4.0": ("sa", "nc", "nd"), "CC-BY-SA-4.0": ("nc", "nd"), "CC-BY-NC-4.0": ("sa", "nd"), "MIT": ("0",)}
 TEMPLATES += [(name, ("spdx", *must), _BARRED.get(name, ()), f"SPDX-License-Identifier: {name}") for name, must in TAGGED.items()]

@@ -25,6 +25,9 @@ from lumora.llm.plan import materialize
 TRIGGER = re.compile(rb"(?i)licen[cs]|copyright|spdx|redistribut|hereby granted|public domain|free software|unencumbered|misrepresented|creative commons|cc0")
 LICENSE_NAME = r"(?i)^(licen[cs]e|copying|unlicense)([.-].*)?$"
 _TERM = re.compile(rb"[a-z0-9]+(?:\.[0-9]+)*")
+_TAG = re.compile(rb"(?i)spdx-license-identifier:[ \t]*(\(*[a-z0-9][a-z0-9 \t().+-]*)")
+_PIECE = re.compile(rb"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
+OPERATORS, TAG_LEAST = (b"OR", b"AND", b"WITH"), 0.6
 
 
 def terms(text: bytes) -> Counter:
@@ -75,6 +78,37 @@ class Matcher:
                 self.postings.setdefault(t, []).append((i, w / norm))
 
     def best(self, text: bytes) -> tuple[float, str | None]:
+        """(cosine, licence) of a candidate: that of its tag's expression, if it is a line with one, else of the nearest template."""
+        return (self.expression(text) if b"\n" not in text else None) or self.nearest(text)
+
+    def expression(self, text: bytes) -> tuple[float, str | None] | None:
+        """A tag of several licences, each matched as a tag of its own: the expression in our names, and its lowest cosine.
+
+        None for a tag of one licence, and where a licence isn't known. An exception after WITH stays as it is written.
+        """
+        tag = _TAG.search(text)
+        out, scores, before = [], [], b"OR"
+        for piece in _PIECE.findall(tag[1]) if tag else ():
+            if piece not in b"()":
+                if (piece.upper() in OPERATORS) == (before in OPERATORS):
+                    break  # what follows is no part of it
+                if piece.upper() in OPERATORS:
+                    piece = piece.upper()
+                elif before != b"WITH":
+                    score, name = self.nearest(b"SPDX-License-Identifier: " + piece)
+                    if name is None or score < TAG_LEAST:
+                        return None
+                    scores.append(score)
+                    out.append(name)
+                    before = piece
+                    continue
+                before = piece
+            out.append(piece.decode())
+        if len(scores) < 2 or before in OPERATORS or out.count("(") != out.count(")"):
+            return None
+        return min(scores), " ".join(out).replace("( ", "(").replace(" )", ")")
+
+    def nearest(self, text: bytes) -> tuple[float, str | None]:
         held = terms(text)
         dots, norm = [0.0] * len(TEMPLATES), 0.0
         for t, c in held.items():
@@ -90,20 +124,23 @@ class Matcher:
 
 
 def candidates(text: bytes):
-    """Lines and paragraphs with a licence word, and the whole text if it has one."""
-    done = -1
-    if TRIGGER.search(text):
-        yield text
+    """The whole text, and the lines and paragraphs with a licence word, each once; so all of them are three texts long at most."""
+    line_end = part_end = -1
     for m in TRIGGER.finditer(text):
-        if m.start() < done:
+        if line_end < 0:
+            yield text
+        if m.start() < line_end:
             continue
         start, end = text.rfind(b"\n", 0, m.start()) + 1, text.find(b"\n", m.end())
-        done = end = len(text) if end < 0 else end
-        yield text[start:end]
+        line_end = end = len(text) if end < 0 else end
+        if end - start < len(text):
+            yield text[start:end]
+        if m.start() < part_end:  # a line of the paragraph before, which has been given
+            continue
         first, last = text.rfind(b"\n\n", 0, m.start()) + 1, text.find(b"\n\n", m.end())
-        part = text[max(first, 0) : len(text) if last < 0 else last]
-        if len(part) != end - start:
-            yield part
+        part_end = len(text) if last < 0 else last
+        if end - start < part_end - first < len(text):
+            yield text[first:part_end]
 
 
 BROADCAST_FOLDERS, SALTS = 100_000, 64
@@ -114,6 +151,7 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
 
     origin: 'header' for a notice in the text, 'file' for a licence file, 'inherited' with the licence file's path in
     from_path, or null with a null license. Of several candidates the highest cosine counts, of equal templates the first.
+    A tag of several licences, as in `MIT OR Apache-2.0`, gives the expression in the names of the templates.
     In a directory with several licence files, the highest score counts, then the smallest path. A null or empty text has
     no candidate; a null path has no ancestor. Repeated rows are scored alike. Other columns are ignored. An empty table
     gives an empty one.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 import numpy as np
@@ -23,7 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
-_made: list[DataFrame] = []
+class _Made(threading.local):
+    """The tables of each thread, so that a run deletes no table of another one beside it."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+
+_made = _Made()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -33,7 +41,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
-    _made.append(out)
+    _made.tables.append(out)
     return out
 
 
@@ -44,16 +52,16 @@ def drop(df: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-        _made[:] = [t for t in _made if t is not df]
+        _made.tables = [t for t in _made.tables if t is not df]
 
 
 def tables_made() -> list[DataFrame]:
-    """The tables that materialize() made and nothing has dropped."""
-    return list(_made)
+    """The tables that materialize() made in this thread and nothing has dropped."""
+    return list(_made.tables)
 
 
 def sweep(before: list[DataFrame], keep: DataFrame) -> None:
-    """Deletes every table made since `before` but `keep`; for a caller that has written all it made from them."""
+    """Deletes every table that this thread made since `before` but `keep`; for a caller that has written all it made from them."""
     for table in tables_made():
         if table is not keep and not any(table is t for t in before):
             drop(table)

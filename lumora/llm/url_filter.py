@@ -25,7 +25,7 @@ _REFRESH = (r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", r"(?is
 def host_path(url: Column) -> tuple[Column, Column]:
     """After the first `://`: the host with A-Z lower-cased, and the path; both empty where there is none."""
     has = F.coalesce(F.instr(url, "://") > 0, F.lit(False))
-    rest = F.substring_index(F.substring_index(F.when(has, F.expr("substring({0}, instr({0}, '://') + 3)".format("`__url`"))).otherwise(F.lit("")), "#", 1), "?", 1)
+    rest = F.substring_index(F.substring_index(F.when(has, F.substr(url, F.instr(url, "://") + 3)).otherwise(F.lit("")), "#", 1), "?", 1)
     slash = F.instr(rest, "/")
     host = F.when(slash > 0, F.substring_index(rest, "/", 1)).otherwise(rest)
     path = F.when(slash > 0, F.regexp_extract(rest, r"(?s)^[^/]*(/.*)$", 1)).otherwise(F.lit(""))

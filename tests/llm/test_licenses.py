@@ -29,6 +29,33 @@ def test_kinds(number):
     assert (name if score >= 0.6 else None) == expect, (score, name)
 
 
+EXPRESSIONS = [
+    ("MIT OR Apache-2.0", "MIT OR Apache-2.0"), ("(MIT OR Apache-2.0) AND BSD-3-Clause", "(MIT OR Apache-2.0) AND BSD-3-Clause"), ("GPL-2.0-only with Classpath-exception-2.0 OR EPL-2.0 */", "GPL-2.0 WITH Classpath-exception-2.0 OR EPL-2.0"),
+    ("MIT and see the notes", "MIT"), ("BSL-1.0 -->", "BSL-1.0"), ("MIT OR", "MIT"), ("0BSD", "0BSD"),
+]
+
+
+@pytest.mark.parametrize(("tag", "expect"), EXPRESSIONS)
+def test_tags_of_several_licences(tag, expect):
+    matcher = licenses.Matcher(dict.fromkeys(licenses.VOCABULARY, 0), 1000)
+    text = f"/* SPDX-License-Identifier: {tag}\n * code follows".encode()
+    score, name = max((matcher.best(c) for c in licenses.candidates(text)), key=lambda x: x[0])
+    assert name == expect and 0.6 <= score <= 1.000000001
+
+
+def test_candidates_are_whole_texts_lines_and_paragraphs():
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choices(["\n", "\n\n", "license ", "dog ", "spdx", " cat"], k=rng.randint(0, 14))).encode()
+        hit = [x for x in [text, *text.split(b"\n"), *re.split(rb"\n\n+", text)] if licenses.TRIGGER.search(x)]
+        assert {c.strip(b"\n") for c in licenses.candidates(text)} == {x.strip(b"\n") for x in hit}, text
+
+
+def test_candidates_of_a_long_paragraph_stay_linear():
+    for text in (b"a license of this line\n" * 20_000, b"one license\n\n" * 20_000, b"license " * 50_000):
+        assert sum(map(len, licenses.candidates(text))) <= 3 * len(text)
+
+
 def plain_terms(text):
     words = re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", text.lower())
     return Counter(words) + Counter(" ".join(x) for x in zip(words, words[1:]))
