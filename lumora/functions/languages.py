@@ -33,6 +33,10 @@ IMPORTS = {
     "go": (r"import\s*\(", r"import\s+[\w.]+"),
     "rust": (r"use\s+[\w:]+",),
 }
+EXTENSIONS = {
+    "python": ("py", "pyw", "pyc"), "java": ("java",), "javascript": ("js", "jsx", "mjs", "cjs", "ts", "tsx"), "cpp": ("cpp", "cc", "cxx", "h", "hpp", "hxx", "hh"),
+    "csharp": ("cs",), "go": ("go",), "rust": ("rs",),
+}
 ALIASES = {"py": "python", "js": "javascript", "c++": "cpp", "cs": "csharp", "ts": "javascript", "tsx": "javascript", "jsx": "javascript"}
 #: Token classes of five languages, their keywords, names and comments, and the keywords of two groups.
 TOKENS = {"operators": r"[+\-*/%=<>!&|^~]", "delimiters": r"[(){}\[\].,;:]", "numbers": r"\b\d+\.?\d*\b", "whitespace": r"\s+"}
@@ -57,14 +61,20 @@ def distinct_words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)))
 
 
-def score(text: Column, words: Column, language: str) -> Column:
-    """0.5 x share of the language's words + 0.3 x matches of its shape (10 are enough) + 0.2 x import forms (5 are enough)."""
+def words_found(text: Column, words: Column, language: str) -> Column:
+    """How many of the language's words the text has."""
     keys = WORDS[language].split()
     plain = [k for k in keys if k.isalnum()]
     found = F.size(F.array_intersect(words, F.array(*map(F.lit, plain))))
     for k in keys:
         if not k.isalnum():  # a mark inside: the boundary before it needs a letter there
             found = found + text.rlike(rf"(?i)\b{k}\b").cast("int")
+    return found
+
+
+def score(text: Column, words: Column, language: str) -> Column:
+    """0.5 x share of the language's words + 0.3 x matches of its shape (10 are enough) + 0.2 x import forms (5 are enough)."""
+    found, keys = words_found(text, words, language), WORDS[language].split()
     shape = F.regexp_count(text, F.lit("(?id)" + SHAPES[language]))
     imports = sum((text.rlike("(?d)" + p).cast("int") for p in IMPORTS[language]), F.lit(0))
     return F.round(found / len(keys) * 0.5 + F.least(shape / 10, F.lit(1.0)) * 0.3 + F.least(imports / 5, F.lit(1.0)) * 0.2, 9)
@@ -79,6 +89,38 @@ def best(columns: dict[str, Column]) -> Column:
     return F.array_max(F.array(*[F.struct(c.alias("confidence"), F.lit(-i).alias("rank"), F.lit(n).alias("language")) for i, (n, c) in enumerate(columns.items())]))
 
 
+def statistics(text: Column, words: Column) -> Column:
+    """An array of (language, confidence, keywords_found, pattern_matches), a struct a language; shapes are counted as they are written, case and all."""
+    each = [
+        F.struct(
+            F.lit(n).alias("language"), score(text, words, n).alias("confidence"), words_found(text, words, n).cast("long").alias("keywords_found"),
+            F.regexp_count(text, F.lit("(?d)" + SHAPES[n])).cast("long").alias("pattern_matches"),
+        )
+        for n in WORDS
+    ]
+    return F.array(*each)
+
+
+def top(columns: dict[str, Column], n: int = 3) -> Column:
+    """The n largest scores as (confidence, rank, language), largest first; the earlier language wins a tie."""
+    each = [F.struct(c.alias("confidence"), F.lit(-i).alias("rank"), F.lit(name).alias("language")) for i, (name, c) in enumerate(columns.items())]
+    return F.slice(F.sort_array(F.array(*each), asc=False), 1, n)
+
+
+def hinted(text: Column, path: Column, columns: dict[str, Column]) -> Column:
+    """(language, confidence) with a file's name as a hint: its extension's language counts if its score is over 0.3.
+
+    Otherwise the largest score from 0.2 on, else unknown and 0; so too for a blank or null text. A null path gives no hint.
+    """
+    suffix = F.lower(F.regexp_extract(path, r"\.([^.]*)$", 1))
+    pair = lambda name, c: F.struct(name.alias("language"), c.alias("confidence"))
+    first, unknown = best(columns), pair(F.lit("unknown"), F.lit(0.0))
+    out = F.when(first["confidence"] >= 0.2, pair(first["language"], first["confidence"])).otherwise(unknown)
+    for name, suffixes in EXTENSIONS.items():
+        out = F.when(suffix.isin(*suffixes) & (columns[name] > 0.3), pair(F.lit(name), columns[name])).otherwise(out)
+    return F.when(text.isNull() | ~text.rlike(r"\S"), unknown).otherwise(out)
+
+
 def validate(text: Column, chosen: Column, top: Column) -> Column:
     """valid, mismatch or unclear: a choice against the best language; under 20 characters any choice holds."""
     name = F.lower(chosen)

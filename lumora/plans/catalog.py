@@ -342,7 +342,7 @@ def majority_vote(spark, sf_dir):
     return _scored(spark, sf_dir).select("doc_id", rules.majority(votes).cast("int").alias("vote"))
 
 
-@query(r"""SELECT page_id, url, length(html[:2000])::BIGINT AS n FROM pages WHERE starts_with(url, 'https://') AND NOT regexp_matches(url, '(^|/)(vendor|node_modules|dist|build|venv|\.venv|__pycache__)/') AND regexp_matches(url, '(?i)\.(html|com|org|php)([?#].*)?$') ORDER BY url, page_id LIMIT 40""")
+@query(r"""SELECT page_id, url, length(html[:2000])::BIGINT AS n FROM pages WHERE starts_with(url, 'https://') AND NOT regexp_matches(url, '(^|/)(vendor|node_modules|dist|build|venv|\.venv|__pycache__|\.git)/') AND regexp_matches(url, '(?i)\.(html|com|org|php)([?#].*)?$') ORDER BY url, page_id LIMIT 40""")
 def repo_scan(spark, sf_dir):
     files_ = files.scan_tree(table(spark, sf_dir, "pages"), "https://", ("html", "com", "org", "php"), None, 2000, "url", "html")
     return files_.orderBy("url", "page_id").limit(40).select("page_id", "url", F.length("html").cast("long").alias("n"))

@@ -5,7 +5,7 @@ Spark has no source for Excel workbooks, and the library that pandas needs for t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -56,7 +56,8 @@ def write_data(df: DataFrame, path: str) -> None:
 
 
 #: Folders of a tree that hold others' files.
-VENDOR = ("vendor", "node_modules", "dist", "build", "venv", ".venv", "__pycache__")
+VENDOR = ("vendor", "node_modules", "dist", "build", "venv", ".venv", "__pycache__", ".git")
+VENDOR_PATTERN = "|".join(v.replace(".", r"\.") for v in VENDOR)
 
 
 def scan_tree(files: DataFrame, prefix: str = "", suffixes: tuple[str, ...] | None = None, most_files: int | None = None, most_chars: int | None = None, path_col: str = "path", text_col: str = "text") -> DataFrame:
@@ -65,8 +66,7 @@ def scan_tree(files: DataFrame, prefix: str = "", suffixes: tuple[str, ...] | No
     Limits are parameters of a listing and off unless given. A null path is no file; a null text stays null.
     """
     out = files.where(F.col(path_col).startswith(prefix)) if prefix else files.where(F.col(path_col).isNotNull())
-    folder = "|".join(v.replace(".", r"\.") for v in VENDOR)
-    out = out.where(~F.col(path_col).rlike(rf"(^|/)({folder})/"))
+    out = out.where(~F.col(path_col).rlike(rf"(^|/)({VENDOR_PATTERN})/"))
     if suffixes:
         out = out.where(F.col(path_col).rlike(r"(?i)\.(" + "|".join(suffixes) + r")([?#].*)?$"))
     if most_chars is not None:
@@ -74,6 +74,18 @@ def scan_tree(files: DataFrame, prefix: str = "", suffixes: tuple[str, ...] | No
     return out if most_files is None else out.orderBy(path_col).limit(most_files)
 
 
+def scored_tree(files: DataFrame, prediction: Column, confidence: Column, text_col: str = "text") -> DataFrame:
+    """The files with prediction (AI, Human or Error) and confidence, ordered by prediction and then by falling confidence.
+
+    The two columns score a file: 1 means AI. A null or blank text, and one without a prediction, is an Error with
+    confidence 0. Columns of those names are replaced.
+    """
+    blank = F.coalesce(~F.col(text_col).rlike(r"\S"), F.lit(True)) | prediction.isNull()
+    label = F.when(blank, "Error").when(prediction == 1, "AI").otherwise("Human")
+    score = F.when(blank, 0.0).otherwise(F.coalesce(confidence.cast("double"), F.lit(0.0)))
+    return files.withColumns({"prediction": label, "confidence": score}).orderBy("prediction", F.desc("confidence"))
+
+
 def made_corpus(spark: SparkSession, n: int, templates: tuple[str, ...], label: int = 0) -> DataFrame:
     """(id, text, label) of n rows: template id modulo their number, with {i} standing for the id."""
     choice = F.element_at(F.array(*[F.lit(t) for t in templates]), (F.col("id") % len(templates) + 1).cast("int"))

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 from lumora.operators import survey
-from lumora.plans import catalog, code_catalog, ensemble_catalog, frame_catalog, language_catalog, learn_catalog, model_catalog, program_catalog, validation_catalog  # noqa: F401 - the others add their queries to the first
+from lumora.plans import catalog, code_catalog, ensemble_catalog, frame_catalog, language_catalog, learn_catalog, model_catalog, program_catalog, scan_catalog, validation_catalog  # noqa: F401 - the others add their queries to the first
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
