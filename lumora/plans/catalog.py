@@ -149,16 +149,17 @@ def basic_stats(spark, sf_dir):
 
 
 @query(r"""
-SELECT doc_id, round(len(list_distinct(string_split(text, ''))) / length(text), 6) AS unique_share,
-  round((length(text) - length(regexp_replace(text, '\p{Nd}+', '', 'g'))) / length(text), 6) AS digit_share,
-  round((length(text) - length(regexp_replace(text, '\p{L}+', '', 'g'))) / length(text), 6) AS alpha_share,
-  round((length(text) - length(regexp_replace(text, '\p{Lu}+', '', 'g'))) / length(text), 6) AS upper_share,
-  round((length(text) - length(regexp_replace(text, '\p{Ll}+', '', 'g'))) / length(text), 6) AS lower_share FROM documents WHERE length(text) > 0""")
+SELECT doc_id, round(len(list_distinct(list_filter(string_split(text, ''), lambda c: c <> ''))) / greatest(length(text), 1), 6) AS unique_share,
+  round((length(text) - length(regexp_replace(text, '\p{Nd}+', '', 'g'))) / greatest(length(text), 1), 6) AS digit_share,
+  round((length(text) - length(regexp_replace(text, '\p{L}+', '', 'g'))) / greatest(length(text), 1), 6) AS alpha_share,
+  round((length(text) - length(regexp_replace(text, '\p{Lu}+', '', 'g'))) / greatest(length(text), 1), 6) AS upper_share,
+  round((length(text) - length(regexp_replace(text, '\p{Ll}+', '', 'g'))) / greatest(length(text), 1), 6) AS lower_share FROM documents""")
 def chars(spark, sf_dir):
-    text, n = F.col("text"), F.length("text")
+    """Shares of characters; 0 in an empty text, null in a null one."""
+    text, n = F.col("text"), F.greatest(F.length("text"), F.lit(1))
     share = {"digit": r"\p{Nd}+", "alpha": r"\p{L}+", "upper": r"\p{Lu}+", "lower": r"\p{Ll}+"}
     distinct = F.size(F.array_remove(F.array_distinct(F.split(text, "")), ""))
-    return table(spark, sf_dir, "documents").where(n > 0).select("doc_id", F.round(distinct / n, 6).alias("unique_share"), *[F.round(T.removed_length(text, p) / n, 6).alias(f"{k}_share") for k, p in share.items()])
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(distinct / n, 6).alias("unique_share"), *[F.round(T.removed_length(text, p) / n, 6).alias(f"{k}_share") for k, p in share.items()])
 
 
 @query("SELECT doc_id, round(CASE WHEN length(text) = 0 THEN 0.0 ELSE list_aggregate(string_split(text, ''), 'entropy') END, 6) AS entropy FROM documents")
@@ -199,9 +200,9 @@ def validate_samples(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", rules.sample_issues(F.col("text")).alias("issues"))
 
 
-@query(survey_sql() + "SELECT doc_id, CASE WHEN risk_score >= 0.85 THEN 'Very High' WHEN risk_score >= 0.7 THEN 'High' WHEN risk_score >= 0.6 THEN 'Medium' WHEN risk_score >= 0.5 THEN 'Low' ELSE 'Very Low' END AS certainty FROM scored")
+@query(survey_sql(near=True) + "SELECT doc_id, CASE WHEN risk_score >= 0.85 THEN 'Very High' WHEN risk_score >= 0.7 THEN 'High' WHEN risk_score >= 0.6 THEN 'Medium' WHEN risk_score >= 0.5 THEN 'Low' ELSE 'Very Low' END AS certainty FROM scored")
 def certainty_band(spark, sf_dir):
-    return _scored(spark, sf_dir).select("doc_id", rules.certainty(F.col("risk_score")).alias("certainty"))
+    return _scored(spark, sf_dir, near_id="doc_id").select("doc_id", rules.certainty(F.col("risk_score")).alias("certainty"))
 
 
 _LANGS = " ".join(f"WHEN '{s}' THEN '{lang}'" for s, lang in rules.SUFFIXES.items())
@@ -261,11 +262,11 @@ def standardize(spark, sf_dir):
 
 
 def _judged(spark, sf_dir) -> DataFrame:
-    risk = _scored(spark, sf_dir).select("doc_id", F.col("risk_score").alias("p"))
+    risk = _scored(spark, sf_dir, near_id="doc_id").select("doc_id", F.col("risk_score").alias("p"))
     return table(spark, sf_dir, "labels").where("toxic IS NOT NULL").join(risk, "doc_id").select("doc_id", F.col("toxic").alias("y"), "p", (F.col("p") >= 0.2).cast("int").alias("yhat"))
 
 
-_JUDGED = survey_sql() + ", j AS (SELECT labels.doc_id, toxic AS y, risk_score AS p, (risk_score >= 0.2)::INT AS yhat FROM labels JOIN scored USING (doc_id) WHERE toxic IS NOT NULL)"
+_JUDGED = survey_sql(near=True) + ", j AS (SELECT labels.doc_id, toxic AS y, risk_score AS p, (risk_score >= 0.2)::INT AS yhat FROM labels JOIN scored USING (doc_id) WHERE toxic IS NOT NULL)"
 _BY_SCORE = _JUDGED + """,
 s AS (SELECT p AS score, sum(y)::BIGINT AS pos, sum(1 - y)::BIGINT AS neg FROM j GROUP BY p),
 b AS (SELECT *, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp, sum(pos) OVER () AS ap, sum(neg) OVER () AS an FROM s)"""
@@ -330,16 +331,16 @@ def bi_time_series(spark, sf_dir):
     return store.by_day(table(spark, sf_dir, "events"), "ts", "event_type")
 
 
-@query(survey_sql() + "SELECT least(floor(round(risk_score * 25, 6)), 24)::BIGINT AS bin, count(*) AS n FROM scored GROUP BY 1")
+@query(survey_sql(near=True) + "SELECT least(floor(round(risk_score * 25, 6)), 24)::BIGINT AS bin, count(*) AS n FROM scored GROUP BY 1")
 def risk_histogram(spark, sf_dir):
     bin_ = F.least(F.floor(F.round(F.col("risk_score") * 25, 6)), F.lit(24)).cast("long")
-    return _scored(spark, sf_dir).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
+    return _scored(spark, sf_dir, near_id="doc_id").groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query(survey_sql() + ", v AS (SELECT doc_id, CASE WHEN (risk_score >= 0.2)::INT + contains(lower(norm_text.text), 'generated')::INT + (n_words < 50)::INT >= 2 THEN 1 ELSE 0 END AS vote FROM scored JOIN documents AS norm_text USING (doc_id)) SELECT doc_id, vote FROM v")
+@query(survey_sql(near=True) + ", v AS (SELECT doc_id, CASE WHEN (risk_score >= 0.2)::INT + contains(lower(norm_text.text), 'generated')::INT + (n_words < 50)::INT >= 2 THEN 1 ELSE 0 END AS vote FROM scored JOIN documents AS norm_text USING (doc_id)) SELECT doc_id, vote FROM v")
 def majority_vote(spark, sf_dir):
     votes = [(F.col("risk_score") >= 0.2).cast("int"), F.lower("text").contains("generated").cast("int"), (F.col("n_words") < 50).cast("int")]
-    return _scored(spark, sf_dir).select("doc_id", rules.majority(votes).cast("int").alias("vote"))
+    return _scored(spark, sf_dir, near_id="doc_id").select("doc_id", rules.majority(votes).cast("int").alias("vote"))
 
 
 @query(r"""SELECT page_id, url, length(html[:2000])::BIGINT AS n FROM pages WHERE starts_with(url, 'https://') AND NOT regexp_matches(url, '(^|/)(vendor|node_modules|dist|build|venv|\.venv|__pycache__|\.git)/') AND regexp_matches(url, '(?i)\.(html|com|org|php)([?#].*)?$') ORDER BY url, page_id LIMIT 40""")
