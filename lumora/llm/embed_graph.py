@@ -2,6 +2,8 @@
 
 1. Equal vectors form a class, by 128 bits of hash. For each vector length, centroids are fitted on a sample of at most
    2^18 classes in all; every class joins the shards of its `overlap` nearest centroids, and its nearest is its home.
+   Where the sample shows a ball of half the threshold's angle with more classes than a shard takes, those classes form a
+   core: all of them link, so they are counted and need no shard (`dense_cores.py`).
 2. Each shard builds candidate lists and prunes them robustly (a candidate goes if a kept neighbour is nearer to it, by a
    factor, than the node is), then adjacency lists of all shards are united by node.
 3. In its home shard each class searches the united graph greedily from the shard's medoid, with a beam, and then goes on
@@ -21,20 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumora.llm.dense_cores import core_links, fit_cores, in_cores
 from lumora.llm.plan import connected_components, drop, materialize
+from lumora.llm.vectors import matrix
 
 DEGREE, BEAM, SLACK = 24, 24, 1.2
 AUDIT, ENOUGH, MOST_QUERIES = 512, 400, 1 << 13  # queries of the first audit, true links that settle it, and its end
 
 
-def matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """Unit rows in double precision; all are of one length."""
-    flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
-    x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares stay finite
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
 def fit_centroids(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     """Spherical k-means from a fixed start."""
     c = x[np.random.default_rng(3).permutation(len(x))[:k]].copy()
@@ -131,20 +127,28 @@ def greedy_range(x: np.ndarray, graph: list[np.ndarray], queries: np.ndarray, le
         yield q[found[0]], found[1]
 
 
-def _sample(classes: DataFrame, n: int, shard_size: int, sample_size: int) -> dict[int, np.ndarray]:
-    """Centroids of each vector length that has more classes than a shard takes, from a sample chosen by hash."""
+def _sample(classes: DataFrame, n: int, shard_size: int, sample_size: int, least: float) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+    """Centroids and centres of cores of each vector length that has more classes than a shard takes, from a sample chosen by hash."""
     size = min(1 << 18, max(sample_size, 8 * n // shard_size))
     share = min(1.0, size / max(n, 1))
     counts = dict(classes.groupBy(F.size("vec")).count().where(F.col("count") > shard_size).collect())
     picked = classes.where(F.pmod(F.xxhash64("id", F.lit("centroid")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("vec").limit(2 * size).toArrow()
     lengths = pc.list_value_length(picked["vec"]).to_numpy()
-    out = {}
+    out, cores = {}, {}
     for d, held in counts.items():
         x = matrix(picked["vec"].filter(pa.array(lengths == d))) if (lengths == d).any() else np.zeros((0, d))
         if len(x) >= 16:
             x = x[np.lexsort(x.T)]
-            out[int(d)] = fit_centroids(x, max(1, min(-(-held // shard_size), len(x) // 8)))
-    return out
+            shards = max(1, min(-(-held // shard_size), len(x) // 8))
+            fitted = fit_centroids(x, shards)
+            centres, outside = fit_cores(x, fitted, least, max(16, shard_size * len(x) // held))
+            if len(centres):
+                cores[int(d)] = centres
+                shards = max(1, min(-(-held * len(outside) // (len(x) * shard_size)), len(outside) // 8))
+                fitted = fit_centroids(outside, shards) if shards > 1 else None
+            if fitted is not None:
+                out[int(d)] = fitted
+    return out, cores
 
 
 def _members(classes: DataFrame, centroids: dict[int, np.ndarray], overlap: int) -> DataFrame:
@@ -250,34 +254,46 @@ def class_links(found: DataFrame) -> DataFrame:
     return found.where("root IS NULL").groupBy("id").agg(F.sum("links").alias("links"), F.sum("pairs").alias("pairs"))
 
 
+def _true_links(classes: DataFrame, picked: pa.Table, least: float) -> DataFrame:
+    """(id, true): how many other classes each picked one links with, by comparison with every class."""
+    ids, lengths = picked["id"].to_numpy(), pc.list_value_length(picked["vec"]).to_numpy()
+    by_length = {int(d): (ids[lengths == d], matrix(picked["vec"].filter(pa.array(lengths == d)))) for d in np.unique(lengths)}
+
+    def compare(batches):
+        for b in batches:
+            sizes = pc.list_value_length(b.column("vec")).to_numpy()
+            for d in np.unique(sizes).tolist():
+                if d in by_length:
+                    part = b.filter(pa.array(sizes == d))
+                    x, own = matrix(part.column("vec")), part.column("id").to_numpy()
+                    of, q = by_length[d]
+                    for s in range(0, len(of), 512):
+                        hit = (x @ q[s : s + 512].T >= least) & (own[:, None] != of[None, s : s + 512])
+                        yield pa.RecordBatch.from_arrays([pa.array(of[s : s + 512]), pa.array(hit.sum(axis=0))], ["id", "true"])
+
+    return classes.select("id", "vec").mapInArrow(compare, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
+
+
 def audit_recall(classes: DataFrame, links: DataFrame, least: float, n: int, queries: int = AUDIT, enough: int = ENOUGH, most: int = MOST_QUERIES) -> tuple[int, int, int]:
     """(found, true, queries): links of query classes to other classes, the true ones by comparison with every class.
 
     Queries are taken by hash, four times as many until `enough` true links are seen, every class is one or there are `most`.
+    If none of them has a true link, `most` classes that the search gave a link to are the queries of a last audit.
     """
+    counted, linked = class_links(links), False
     while True:
-        picked = classes.orderBy(F.xxhash64("id", F.lit("audit"))).limit(queries).toArrow()
-        ids, lengths = picked["id"].to_numpy(), pc.list_value_length(picked["vec"]).to_numpy()
-        by_length = {int(d): (ids[lengths == d], matrix(picked["vec"].filter(pa.array(lengths == d)))) for d in np.unique(lengths)}
-
-        def compare(batches, by_length=by_length):
-            for b in batches:
-                sizes = pc.list_value_length(b.column("vec")).to_numpy()
-                for d in np.unique(sizes).tolist():
-                    if d in by_length:
-                        part = b.filter(pa.array(sizes == d))
-                        x, own = matrix(part.column("vec")), part.column("id").to_numpy()
-                        of, q = by_length[d]
-                        for s in range(0, len(of), 512):
-                            hit = (x @ q[s : s + 512].T >= least) & (own[:, None] != of[None, s : s + 512])
-                            yield pa.RecordBatch.from_arrays([pa.array(of[s : s + 512]), pa.array(hit.sum(axis=0))], ["id", "true"])
-
-        true = classes.mapInArrow(compare, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
-        row = true.join(class_links(links), "id", "left").agg(F.sum(F.least("true", F.coalesce("pairs", F.lit(0)))), F.sum("true")).head()
+        of = classes.join(counted.where("pairs > 0").select("id"), "id", "left_semi") if linked else classes
+        picked = of.select("id", "vec").orderBy(F.xxhash64("id", F.lit("audit"))).limit(queries).toArrow()
+        if not picked.num_rows:
+            return 0, 0, min(queries, n)
+        row = _true_links(classes, picked, least).join(counted, "id", "left").agg(F.sum(F.least("true", F.coalesce("pairs", F.lit(0)))), F.sum("true")).head()
         found, seen = int(row[0] or 0), int(row[1] or 0)
-        if seen >= enough or queries >= min(n, most):
-            return found, seen, min(queries, n)
-        queries *= 4
+        if seen >= enough or linked or queries >= min(n, most):
+            if seen or linked or queries >= n:
+                return found, seen, min(queries, n)
+            linked = True
+        else:
+            queries *= 4
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95, overlap: int = 3, shard_size: int = 1500, sample_size: int = 1 << 14, least_recall: float = 0.9) -> DataFrame:
@@ -291,7 +307,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
     The search is approximate between different vectors. audit_recall, the same in all rows, is the share of true links
     that the last audit found; 1 if every class was a query and none has a link; null if queries had none, and then a
-    warning says that nothing was measured. Links within a class are exact.
+    warning says that nothing was measured: then neither 8192 classes by hash nor any that the search reached have a link.
+    Links within a class and with a core are exact.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     good = F.col("id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0)
@@ -304,17 +321,24 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     ends = [F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")]
     if not n:
         return lone.select(F.col("id").alias(id_col), "n_links", "component_id", *ends, F.lit(None).cast("double").alias("audit_recall"))
-    centroids = _sample(classes, n, shard_size, sample_size)
+    centroids, centres = _sample(classes, n, shard_size, sample_size, least)
+    outside, of_cores = classes, None
+    if centres:
+        placed = materialize(in_cores(classes, centres, least), "placed")
+        outside, of_cores = placed.where("core IS NULL").select("id", "n", "vec"), core_links(placed, centres, least)
     most_shards = max([1, *map(len, centroids.values())])
     while True:
-        found_links = link_classes(classes, centroids, least, overlap)
+        of_shards = link_classes(outside, centroids, least, overlap)
+        found_links = of_shards.unionByName(of_cores) if centres else of_shards
         found, true, queries = audit_recall(classes, found_links, least, n)
         if found >= least_recall * true:
             break
-        drop(found_links)
+        drop(of_shards)
         if overlap >= most_shards:
             raise RuntimeError(f"recall {found} of {true} with every shard of every vector")
         overlap *= 2
+    if centres:
+        drop(placed)
     recall = found / true if true else 1.0 if queries >= n else None
     if recall is None:
         warnings.warn(f"recall was not measured: {queries} queries have no true link", stacklevel=2)
