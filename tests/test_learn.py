@@ -70,3 +70,23 @@ def test_near_pairs_are_those_of_brute_force(spark):
     expect = _brute(texts, 0.6)
     assert got.keys() == expect.keys() and len(got) >= 8
     assert all(math.isclose(got[k], expect[k], rel_tol=1e-9) for k in got)
+
+
+def test_vectors_meet_without_a_shuffle_of_copies(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [[f"{s}{i}" for i in range(40)] for s in "xyz"]
+    texts = [" ".join(rng.choices(words[i % 3], k=30)) for i in range(90)]
+    texts += [t.replace(t.split()[3], rng.choice(words[0]), 1) for t in texts[:30]]
+    plans, stored = [], similarity.settled
+
+    def seen(df, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, **options)
+
+    monkeypatch.setattr(similarity, "settled", seen)
+    monkeypatch.setattr(similarity, "BLOCK", 8)
+    weighted = similarity.weighted_terms(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id", "text")
+    got = {(r.a, r.b): r.similarity for r in stored(similarity.near_pairs(weighted, 0.6)).collect()}
+    expect = _brute(texts, 0.6)
+    assert got.keys() == expect.keys() and len(got) >= 30 and all(math.isclose(got[k], expect[k], rel_tol=1e-9) for k in got)
+    assert "hashpartitioning" not in plans[-1]  # the step in which they meet
