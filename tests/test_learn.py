@@ -90,3 +90,16 @@ def test_vectors_meet_without_a_shuffle_of_copies(spark, monkeypatch):
     expect = _brute(texts, 0.6)
     assert got.keys() == expect.keys() and len(got) >= 30 and all(math.isclose(got[k], expect[k], rel_tol=1e-9) for k in got)
     assert "hashpartitioning" not in plans[-1]  # the step in which they meet
+
+
+def test_vocabulary_from_buckets_is_that_of_all_terms(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices([f"w{k * k}" for k in range(60)], [1 / (k + 1) for k in range(60)], k=25)) for _ in range(120)]
+    df = spark.createDataFrame([(i, 1 + i % 2, t) for i, t in enumerate(texts)], "rep int, size long, t string")
+    counted = similarity.settled(similarity._counted(df, "int"))
+    whole = similarity._vocabulary(counted, 50, 2)
+    monkeypatch.setattr(similarity, "SAMPLE", 20)
+    monkeypatch.setattr(similarity, "BUCKETS", 64)
+    some = similarity._vocabulary(counted, 50, 2)
+    assert [(r.term, r.df, r.cf, r.texts) for r in some] == [(r.term, r.df, r.cf, r.texts) for r in whole] and len(some) == 50
+    assert all(math.isclose(a.mass, b.mass, rel_tol=1e-12) for a, b in zip(some, whole))
