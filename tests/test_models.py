@@ -158,3 +158,15 @@ def test_json_there_and_back(spark):
     assert {r.id: r.j for r in text.collect()} == {1: '{"a":2,"b":"x"}', 2: "{}"}
     assert merge.from_json(text, "j", "a int, b string").exceptAll(df).count() == 0
     assert merge.from_json(spark.createDataFrame([(1, "not json"), (2, None)], "id int, j string"), "j", "a int").where("a IS NOT NULL").count() == 0
+
+
+def test_queries_send_python_small_batches(spark):
+    """A worker holds at most a batch of texts, however many rows a partition has."""
+    import pyarrow as pa
+
+    from lumora.plans import catalog
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    catalog.table(spark, "/root/testdata/sf0.001", "documents")
+    sizes = spark.range(0, 3500, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    assert sum(r.n for r in sizes) == 3500 and max(r.n for r in sizes) <= 1000
