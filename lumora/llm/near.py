@@ -171,6 +171,8 @@ def drop_near_copies(docs: DataFrame, columns: tuple[str, ...], id_col: str = "d
                 bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(keys))
                 prints = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array(class_keys(texts)), pa.array(prints), bands], ["id", "row", "cls", "fp", "bands"])
+        b = part = texts = sets = some = keys = bands = prints = None
+        release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = keyed.select(F.col(id_col).alias("id"), F.col("__row").alias("row"), F.col(text_col).alias("text"))
@@ -198,6 +200,8 @@ def drop_near_copies(docs: DataFrame, columns: tuple[str, ...], id_col: str = "d
             for part in (b.slice(*at) for at in parts(b.column("text"), 1 << 20)):
                 sets = shingles([plain(t) for t in column_bytes(part.column("text"))], words)
                 yield pa.RecordBatch.from_arrays([part.column("component"), part.column("cls"), pa.array([x.tobytes() for x in sets], pa.binary())], ["component", "cls", "shingles"])
+        b = part = sets = None
+        release()
 
     found = source.select("row", "text").join(wanted, "row").select("component", "cls", "text")
     held = materialize(found.mapInArrow(members, "component long, cls long, shingles binary"), "shingles")

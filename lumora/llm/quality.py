@@ -8,7 +8,8 @@ own fold has keeps a row with a count of zero, which the interpolation gives its
 a document is in the model, and a document's perplexity needs the highest order alone.
 
 The model goes to the tasks as sorted arrays of keys and log-probabilities if it has at most `broadcast_rows` rows (12
-bytes each); a larger one is joined by key to the documents' distinct n-grams. Both give the same sums.
+bytes each). Of a larger one each chunk of documents asks for what its distinct n-grams need, as packed messages by the
+key's remainder, so that what moves stays below the texts themselves. Both give the same sums.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumora.llm.arrays import BASE, SPACE, Slice, column_bytes, covered, pairs, slices
-from lumora.llm.plan import drop, materialize
+from lumora.llm.arrays import BASE, SPACE, Slice, column_bytes, covered, pairs, release, slices
+from lumora.llm.plan import CHUNK, drop, materialize
 
 ORDER = 5
 WIDTH, FLOOR = 6.0, 0.25  # of the bands, in quartile distances and nats
@@ -30,6 +32,8 @@ _BITS = 8 * ORDER
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+PATHS, MEET = 251, 256  # of the model's keys by remainder, a prime; chunks whose messages meet in one task
+_MESSAGE = "path int, grp int, member int, data binary"
 
 
 def language_code(lang: Column) -> Column:
@@ -105,6 +109,8 @@ def _count(batches):
         key, n = merged()
         for k in range(0, len(key), 1 << 18):
             yield pa.RecordBatch.from_arrays([pa.array(key[k : k + (1 << 18)]), pa.array(n[k : k + (1 << 18)])], ["key", "n"])
+    key = n = held = None
+    release()
 
 
 def distinct_texts(source: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -207,50 +213,102 @@ def _by_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values.astype(np.float64), offsets[:-1]) if len(offsets) > 1 else np.zeros(0)
 
 
-def score(docs: DataFrame, model: DataFrame, id_col: str, text_col: str, lang_col: str, keep: tuple[str, ...] = (), broadcast_rows: int = 4_000_000) -> DataFrame:
+def _distinct(texts: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of the texts by path, then key, and where each path begins (one more at the end)."""
+    found = [np.unique(ngram_keys(texts[at : at + s.count], codes[at : at + s.count])[0]) for at, s in slices(texts)]
+    key = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]))
+    path = (key % PATHS).astype(np.uint8)
+    return key[np.argsort(path, kind="stable")], np.concatenate(([0], np.cumsum(np.bincount(path, minlength=PATHS))))
+
+
+def _asked(dealt: DataFrame, model: DataFrame, chunks: int) -> DataFrame:
+    """(path, grp, member, data): for each chunk (member) and path the packed log-probabilities of its distinct n-grams.
+
+    A message has a chunk's keys of a path. Those of MEET chunks meet the model's rows of the path, so a task holds some
+    megabytes and the model is sent once for each MEET chunks.
+    """
+
+    def ask(table: pa.Table) -> pa.Table:
+        key, at = _distinct(column_bytes(table["text"]), table["code"].to_numpy())
+        chunk, packer = table[CHUNK][0].as_py(), zstandard.ZstdCompressor(level=1)
+        some = [p for p in range(PATHS) if at[p] < at[p + 1]]
+        data = [packer.compress(np.diff(key[at[p] : at[p + 1]], prepend=0).tobytes()) for p in some]
+        return pa.table({"path": pa.array(some, pa.int32()), "grp": pa.array([chunk // MEET] * len(some), pa.int32()), "member": pa.array([chunk] * len(some), pa.int32()), "data": pa.array(data, pa.binary())})
+
+    def answer(messages: pa.Table, rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows["key"].to_numpy())
+        key, logp = rows["key"].to_numpy()[order], rows["logp"].to_numpy()[order]
+        data, packer, reader = [], zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        for x in messages["data"]:
+            asked = np.cumsum(np.frombuffer(reader.decompress(x.as_py()), np.int64))
+            at = np.searchsorted(key, asked)
+            if not len(key) or at.max() == len(key) or (key[at] != asked).any():
+                raise RuntimeError("an n-gram of the documents is not in the model")
+            data.append(packer.compress(logp[at].tobytes()))
+        return messages.set_column(3, "data", pa.array(data, pa.binary()))
+
+    messages = dealt.groupBy(CHUNK).applyInArrow(ask, _MESSAGE)
+    groups = F.sequence(F.lit(0), F.lit((chunks - 1) // MEET))
+    rows = model.select(F.pmod("key", F.lit(PATHS)).cast("int").alias("path"), F.explode(groups).alias("grp"), "key", "logp")
+    return messages.groupBy("path", "grp").cogroup(rows.groupBy("path", "grp")).applyInArrow(answer, _MESSAGE)
+
+
+def score(docs: DataFrame, model: DataFrame, id_col: str, text_col: str, lang_col: str, keep: tuple[str, ...] = (), broadcast_rows: int = 4_000_000, chunk_bytes: int = 16 << 20) -> DataFrame:
     """id_col, the columns of keep, the base counts, the number of n-grams and the mean negative log-probability (nll)."""
     spark, n_model = docs.sparkSession, model.count()
-    source = docs.select(id_col, F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), fold_code(F.col(lang_col), F.col(text_col)).alias("code"), F.xxhash64(text_col).alias("hash"), *[F.col(c).alias(f"k_{c}") for c in keep])
-    kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
+    again = f"k_{text_col}"  # the text under its other name needs no second copy on the way
+    source = docs.select(id_col, F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), fold_code(F.col(lang_col), F.col(text_col)).alias("code"), F.xxhash64(text_col).alias("hash"), *[F.col(c).alias(f"k_{c}") for c in keep if c != text_col])
+    kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields} | {again: "string"}
     kept = [id_col, "lang", "hash", *[f"k_{c}" for c in keep]]
-    small = n_model <= broadcast_rows
-    holder = None
-    if small:
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + "".join(f", {k} long" for k in (*STATS, "n_grams")) + ", sum_logp double"
+
+    def scores(rows, lookup) -> list[pa.Array]:
+        """The columns of the result for a table or batch of documents."""
+        texts, codes = column_bytes(rows["text"]), rows["code"].to_numpy()
+        parts = {k: [np.zeros(0, np.int64)] for k in (*STATS, "n_grams", "sum_logp")}
+        for at, s in slices(texts):
+            for k, v in text_counts(s).items():
+                parts[k].append(v)
+            key, offsets = ngram_keys(texts[at : at + s.count], codes[at : at + s.count])
+            parts["n_grams"].append(np.diff(offsets))
+            parts["sum_logp"].append(_by_text(lookup(key), offsets))
+        counts = [pa.array(np.concatenate(parts[k]), pa.int64()) for k in (*STATS, "n_grams")]
+        return [*(rows["text" if c == again else c] for c in kept), *counts, pa.array(np.concatenate(parts["sum_logp"]), pa.float64())]
+
+    names, holder = [*kept, *STATS, "n_grams", "sum_logp"], None
+    if n_model <= broadcast_rows:
         table = model.sort("key").toArrow()
         holder = spark.sparkContext.broadcast((table["key"].to_numpy().tobytes(), table["logp"].to_numpy().tobytes()))
 
-    def scored(batches):
-        try:
-            yield from scored_by(_loaded(id(holder), holder) if small else None, batches)
-        finally:
-            _loaded.cache_clear()  # a worker lives on through other operators' tasks
-
-    def scored_by(lookup, batches):
-        for b in batches:
-            texts, codes = column_bytes(b.column("text")), b.column("code").to_numpy()
-            parts = {k: [] for k in (*STATS, "n_grams", "sum_logp", "grams")}
-            for at, s in slices(texts):
-                for k, v in text_counts(s).items():
-                    parts[k].append(v)
-                key, offsets = ngram_keys(texts[at : at + s.count], codes[at : at + s.count])
-                parts["n_grams"].append(np.diff(offsets))
-                if small:
-                    parts["sum_logp"].append(_by_text(lookup(key), offsets))
-                else:
-                    for i in range(len(offsets) - 1):
-                        k, n = np.unique(key[offsets[i] : offsets[i + 1]], return_counts=True)
-                        parts["grams"].append([{"key": int(x), "n": int(y)} for x, y in zip(k, n)])
-            arrays = [b.column(c) for c in kept] + [pa.array(np.concatenate([*parts[k], np.zeros(0, np.int64)]), pa.int64()) for k in (*STATS, "n_grams")]
-            arrays.append(pa.array(np.concatenate([*parts["sum_logp"], np.zeros(0)]), pa.float64()) if small else pa.array(parts["grams"], pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())]))))
-            yield pa.RecordBatch.from_arrays(arrays, [*kept, *STATS, "n_grams", "sum_logp" if small else "grams"])
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + "".join(f", {k} long" for k in (*STATS, "n_grams"))
-    out = source.mapInArrow(scored, schema + (", sum_logp double" if small else ", grams array<struct<key:long,n:long>>"))
-    if not small:
-        rows = materialize(out.withColumn("__row", F.monotonically_increasing_id()), "grams")
-        grams = rows.select("__row", F.explode("grams").alias("g")).select("__row", "g.key", "g.n")
-        sums = grams.join(model, "key").groupBy("__row").agg(F.sum(F.col("n") * F.col("logp").cast("double")).alias("sum_logp"))
-        out = rows.drop("grams").join(sums, "__row", "left").drop("__row")
+        def scored(batches):
+            try:
+                for b in batches:
+                    yield pa.RecordBatch.from_arrays(scores(b, _loaded(id(holder), holder)), names)
+            finally:
+                _loaded.cache_clear()  # a worker lives on through other operators' tasks
+                release()
+
+        out = source.mapInArrow(scored, schema)
+    else:
+        total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).head()[0] or 0
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        chunks = int(max(1, -(-total // chunk_bytes), min(tasks, total >> 20)))
+        chunk = F.pmod(F.xxhash64(id_col, "text"), F.lit(chunks)).cast("int")  # copies of a text are dealt by their ids
+        dealt = source.select(chunk.alias(CHUNK), "*").repartition(max(2, min(chunks, max(tasks, total >> 28))), CHUNK)
+
+        def looked_up(table: pa.Table, answers: pa.Table) -> pa.Table:
+            key, at = _distinct(column_bytes(table["text"]), table["code"].to_numpy())
+            logp, reader = np.zeros(len(key), np.float32), zstandard.ZstdDecompressor()
+            for p, x in zip(answers["path"].to_pylist(), answers["data"]):
+                logp[at[p] : at[p + 1]] = np.frombuffer(reader.decompress(x.as_py()), np.float32)
+            order = np.argsort(key)
+            try:
+                return pa.table(scores(table, SortedModel(key[order], logp[order])), names)
+            finally:
+                release()
+
+        answers = _asked(dealt, model, chunks)
+        out = dealt.groupBy(CHUNK).cogroup(answers.groupBy("member")).applyInArrow(looked_up, schema)
     out = out.withColumn("nll", -F.col("sum_logp") / F.col("n_grams")).drop("sum_logp")
     out._holder = holder
     return out

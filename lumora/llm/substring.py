@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumora.llm.arrays import column_bytes, covered, runs, tree_hashes, window_hashes, word_hashes
+from lumora.llm.arrays import column_bytes, covered, release, runs, tree_hashes, window_hashes, word_hashes
 from lumora.llm.exchange import SCHEMA, Question, ask, first_messages, gather, levels, no_messages, sort_records
 from lumora.llm.plan import CHUNK, doc_order, in_chunks
 
@@ -47,9 +47,9 @@ class _Chunk:
         words, self.first_word = word_hashes(self.texts, seeds[0])
         self.n_words = len(words)
         self.starts, self.hashes = window_hashes(words, self.first_word, width)
-        keys = np.zeros(len(self.hashes), _KEY)
-        keys["key"] = self.hashes
-        self.keys, self.index, _, self.counts = sort_records(shared.cut(keys))
+        del words
+        release()  # of the chunk before, and what hashing left
+        self.keys, self.index, _, self.counts = sort_records(shared.cut(self.hashes.view(_KEY)))
 
     def asked(self, answers: pa.Table) -> np.ndarray:
         """Which windows another chunk may have too."""
@@ -97,14 +97,22 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return _Chunk(table, id_col, text_col, width, seeds, shared)
 
     def send(table: pa.Table) -> pa.Table:
-        c = chunk(table)
-        return first_messages(shared, c.keys, c.number)
+        try:
+            c = chunk(table)
+            return first_messages(shared, c.keys, c.number)
+        finally:
+            c = None
+            release()
 
     def send_pairs(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows or not answers.num_rows:
             return no_messages()
-        c = chunk(table)
-        return first_messages(EARLIER, sort_records(c.pairs(np.flatnonzero(c.asked(answers))))[0], c.number)
+        try:
+            c = chunk(table)
+            return first_messages(EARLIER, sort_records(c.pairs(np.flatnonzero(c.asked(answers))))[0], c.number)
+        finally:
+            c = None
+            release()
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         c = chunk(table)
@@ -134,6 +142,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         out = {id_col: c.docs[id_col]} | {k: c.docs[k] for k in keep}
         out |= {"n_words": pa.array(np.diff(c.first_word), pa.int64()), "n_removed": pa.array(n_removed, pa.int64())}
         out |= {"kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))}
+        c = None
+        release()
         return pa.table(out)
 
     one = ask(dealt.groupBy(CHUNK).applyInArrow(send, SCHEMA), shared, n).select(F.col("member").alias(CHUNK), "path", "data", F.lit(False).alias("second"))

@@ -65,3 +65,19 @@ def test_spans_are_compared_whole():
     other = np.array([rng.randrange(len(words)) for _ in words])
     alike = size[other] == size
     assert arrays.equal_spans(s.raw, starts[alike], s.raw, starts[other[alike]], size[alike]).tolist() == [words[i] == words[j] for i, j in enumerate(other) if alike[i]]
+
+
+def test_a_large_model_gives_what_a_small_one_does(spark, monkeypatch):
+    """Chunks ask for packed log-probabilities; no table holds a document's n-grams. Copies, nulls and empty texts included."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(80)]
+    rows = [(i, " ".join(rng.choices(words, k=40)), ["en", "de", None][i % 3]) for i in range(60)]
+    rows += [(100 + i, rows[0][1], "en") for i in range(40)] + [(None, None, "en"), (200, "", None), (200, "", None), (None, rows[1][1], "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = quality.kneser_ney(quality.other_fold(docs.select("text", quality.fold_code(docs.lang, docs.text).alias("code")).mapInArrow(quality._count, "key long, n long").groupBy("key").sum("n").withColumnRenamed("sum(n)", "n")))
+    names, write = [], quality.materialize
+    monkeypatch.setattr(quality, "materialize", lambda df, name: names.append(name) or write(df, name))
+    monkeypatch.setattr(quality, "MEET", 4)
+    got = [sorted((r.doc_id or 0, r.k_text or "", r.lang or "", r.n_words, r.n_grams, r.nll) for r in quality.score(docs, model, "doc_id", "text", "lang", ("text",), limit, **more).collect()) for limit, more in ((10**9, {}), (0, {"chunk_bytes": 1500}))]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    assert not names
