@@ -103,3 +103,19 @@ def test_vocabulary_from_buckets_is_that_of_all_terms(spark, monkeypatch):
     some = similarity._vocabulary(counted, 50, 2)
     assert [(r.term, r.df, r.cf, r.texts) for r in some] == [(r.term, r.df, r.cf, r.texts) for r in whole] and len(some) == 50
     assert all(math.isclose(a.mass, b.mass, rel_tol=1e-12) for a, b in zip(some, whole))
+
+
+def test_terms_are_not_stored_and_copies_are_one_vector(spark, monkeypatch):
+    """Lists of all terms took more room than the texts: only vectors of the vocabulary and counts are written."""
+    stored, made = similarity.settled, []
+
+    def seen(df, **options):
+        made.append(df.columns)
+        return stored(df, **options)
+
+    monkeypatch.setattr(similarity, "settled", seen)
+    rows = [(1, "a1 b1 c1"), (2, "a1 b1 c1"), (3, "b1 c1 d1"), (4, None), (5, "A1 b1 c1")]
+    for extra in ([], [(1, "a1 b1 c1")]):  # unique ids, and a repeated row
+        got = similarity.weighted_terms(spark.createDataFrame(rows + extra, "id int, text string"), "id", "text").collect()
+        assert sorted(r.rep for r in got) == [1, 3, 5]
+    assert made and not any("term" in c and "tf" in c for c in made)
