@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from lumora.llm.arrays import BASE, Slice, column_bytes, mix, parts, release
 
 SPACE_MARK = "▁"
+SLICE = 3 << 19  # bytes of text whose distinct units are built together
 
 
 class Vocabulary:
@@ -68,13 +69,32 @@ class Vocabulary:
         keys = np.fromiter((p << 8 | b for p, b in children), np.int64, len(children))
         order = np.argsort(keys)
         self.child_key, self.child = keys[order], np.fromiter(children.values(), np.int64, len(children))[order]
+        self.shift = np.uint64(64 - (4 * len(keys)).bit_length())  # a table of direct slots, and the few keys that found theirs taken
+        slot = self._slot(self.child_key)
+        self.slot_key = np.full(1 << (64 - int(self.shift)), -1, np.int64)
+        self.slot_child = np.full(len(self.slot_key), -1, np.int32)
+        self.slot_key[slot], self.slot_child[slot] = self.child_key, self.child
+        lost = self.slot_key[slot] != self.child_key
+        self.lost_slot = np.zeros(len(self.slot_key), bool)
+        self.lost_slot[slot[lost]] = True
+        self.child_key, self.child = self.child_key[lost], self.child[lost]
         self.root = np.full(256, -1, np.int64)
         self.root[[b for p, b in children if p == 0]] = [c for (p, _), c in children.items() if p == 0]
 
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(BASE)) >> self.shift).view(np.int64)
+
     def step(self, nodes: np.ndarray, octets: np.ndarray) -> np.ndarray:
         key = nodes << 8 | octets
-        at = np.minimum(np.searchsorted(self.child_key, key), len(self.child_key) - 1)
-        return np.where(self.child_key[at] == key, self.child[at], -1)
+        slot = self._slot(key)
+        other = self.slot_key[slot] != key
+        out = self.slot_child[slot].astype(np.int64)
+        out[other] = -1
+        if len(self.child_key):
+            more = np.flatnonzero(other & self.lost_slot[slot])
+            at = np.minimum(np.searchsorted(self.child_key, key[more]), len(self.child_key) - 1)
+            out[more] = np.where(self.child_key[at] == key[more], self.child[at], -1)
+        return out
 
     def decode(self, ids) -> bytes:
         """The text of ids: the pieces in a row, without the space that encoding puts in front."""
@@ -361,7 +381,7 @@ def sample_segmentations(docs: DataFrame, model_path: str, id_col: str = "doc_id
         release()
         v = vocabulary(model_path)
         for whole in batches:
-            for b in (whole.slice(*at) for at in parts(whole.column(text_col), 3 << 18)):
+            for b in (whole.slice(*at) for at in parts(whole.column(text_col), SLICE)):
                 ids_in, texts = b.column(id_col), column_bytes(b.column(text_col))
                 keys = np.array([zlib.crc32(f"{seed}:{x}".encode()) | (zlib.crc32(f"{x}:{seed}".encode()) << 32) for x in ids_in.to_pylist()], np.uint64)
                 sampler = Sampler(v, texts, keys)
