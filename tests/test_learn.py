@@ -119,3 +119,12 @@ def test_terms_are_not_stored_and_copies_are_one_vector(spark, monkeypatch):
         got = similarity.weighted_terms(spark.createDataFrame(rows + extra, "id int, text string"), "id", "text").collect()
         assert sorted(r.rep for r in got) == [1, 3, 5]
     assert made and not any("term" in c and "tf" in c for c in made)
+
+
+def test_stored_vectors_hold_few_distinct_weights(spark):
+    """Weights divided by each text's norm were nearly all distinct, eight bytes each; a file holds each of the others once."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.sample([f"w{i}" for i in range(40)], k=3 + i % 20)) for i in range(80)]
+    got = similarity.weighted_terms(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id", "text").collect()
+    assert len({x for r in got for x in r.w}) <= len({k for r in got for k in r.ranks}) < sum(len(r.w) for r in got) / 2
+    assert all(math.isclose(r.norm, math.sqrt(sum(x * x for x in r.w)), rel_tol=1e-12) for r in got)
