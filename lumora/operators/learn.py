@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -9,6 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumora.session import settled
+
 FOLD = "__fold"
 
 
@@ -25,19 +29,18 @@ def balanced(df: DataFrame, y: str) -> DataFrame:
 
 
 def random_features(df: DataFrame, features: str, out: str, dims: int, count: int = 128, gamma: float = 0.1, seed: int = 42) -> DataFrame:
-    """Random Fourier features of an RBF kernel, as built-in array functions over a fixed matrix."""
-    import numpy as np
+    """Random Fourier features of an RBF kernel: one matrix product a batch of rows, with a fixed matrix."""
     from pyspark.ml.functions import array_to_vector
 
     rng = np.random.default_rng(seed)
     w, b = rng.normal(0, (2 * gamma) ** 0.5, (count, dims)), rng.uniform(0, 2 * np.pi, count)
-    matrix = F.array(*[F.struct(F.array(*[F.lit(float(x)) for x in row]).alias("w"), F.lit(float(c)).alias("b")) for row, c in zip(w, b)])
-    values = vector_to_array(features)
 
-    def one(r):
-        return F.cos(F.aggregate(F.zip_with(r["w"], values, lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x) + r["b"]) * (2 / count) ** 0.5
+    @F.pandas_udf("array<double>")
+    def project(values: pd.Series) -> pd.Series:
+        on = np.stack(values.to_list()) if len(values) else np.zeros((0, dims))
+        return pd.Series(list(np.cos(on @ w.T + b) * (2 / count) ** 0.5), dtype=object)
 
-    return df.withColumn(out, array_to_vector(F.transform(matrix, one)))
+    return df.withColumn(out, array_to_vector(project(vector_to_array(features))))
 
 
 def estimator(kind: str, y: str, rows: int):
@@ -63,9 +66,9 @@ def cross_predict(df: DataFrame, key: str, features: list[str], y: str, kind: st
     """
     import functools
 
-    if df.where(F.col(y).isNotNull()).isEmpty():
-        return df.where(F.lit(False)).select(key, F.col(y).cast("double").alias(y), F.lit(0.0).alias("p"))
-    base = folds(df.where(F.col(y).isNotNull()).select(key, F.col(y).cast("double").alias(y), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]), key, k).cache()  # read by every fold
+    base = settled(folds(df.where(F.col(y).isNotNull()).select(key, F.col(y).cast("double").alias(y), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]), key, k))  # read by every fold, in few tasks as it is small
+    if base.isEmpty():
+        return base.select(key, y, F.lit(0.0).alias("p"))
     out = []
     for fold in range(k):
         train, test = balanced(base.where(F.col(FOLD) != fold), y).cache(), base.where(F.col(FOLD) == fold)
@@ -85,11 +88,11 @@ def cross_predict(df: DataFrame, key: str, features: list[str], y: str, kind: st
 
 def stacked(df: DataFrame, key: str, features: list[str], y: str, kinds=("random_forest", "logistic", "boosting"), k: int = 3) -> DataFrame:
     """(key, y, p, and p of each kind): a logistic model over out-of-fold probabilities, itself scored out of fold."""
-    joined = None
+    df, joined = settled(df.select(key, y, *features)), None  # read by every kind, as what they give is by the last model
     for kind in kinds:
         p = cross_predict(df, key, features, y, kind, k).withColumnRenamed("p", f"p_{kind}")
         joined = p if joined is None else joined.join(p.drop(y), key)
-    names = [f"p_{kind}" for kind in kinds]
+    names, joined = [f"p_{kind}" for kind in kinds], settled(joined)
     return cross_predict(joined, key, names, y, "logistic", k).join(joined.select(key, *names), key)
 
 

@@ -128,3 +128,24 @@ def test_stored_vectors_hold_few_distinct_weights(spark):
     got = similarity.weighted_terms(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id", "text").collect()
     assert len({x for r in got for x in r.w}) <= len({k for r in got for k in r.ranks}) < sum(len(r.w) for r in got) / 2
     assert all(math.isclose(r.norm, math.sqrt(sum(x * x for x in r.w)), rel_tol=1e-12) for r in got)
+
+
+def test_stacking_reads_its_input_once_and_kernels_are_those_of_the_matrix(spark, monkeypatch):
+    """Each kind of model, and each reader of what they gave, computed the input anew."""
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.sql import functions as F
+
+    made = []
+    stored = learn.settled
+    monkeypatch.setattr(learn, "settled", lambda df: made.append(df.columns) or stored(df))
+    monkeypatch.setattr(learn, "cross_predict", lambda df, key, features, y, kind, k: df.select(key, y, F.col(features[0]).alias("p")))
+    df = spark.createDataFrame([(i, i % 2, float(i)) for i in range(6)], "id int, y int, a double")
+    out = learn.stacked(df, "id", ["a"], "y", ("logistic", "boosting"), 2).collect()
+    assert sorted((r.id, r.p_logistic, r.p_boosting) for r in out) == [(i, float(i), float(i)) for i in range(6)]
+    assert made == [["id", "y", "a"], ["id", "y", "p_logistic", "p_boosting"]]
+    points = spark.createDataFrame([([0.5, -1.0],), ([0.0, 2.0],)], "v array<double>").select(array_to_vector("v").alias("v"))
+    got = learn.random_features(points, "v", "k", 2, count=16).select(vector_to_array("v").alias("v"), vector_to_array("k").alias("k")).collect()
+    rng = np.random.default_rng(42)
+    w, b = rng.normal(0, 0.2**0.5, (16, 2)), rng.uniform(0, 2 * np.pi, 16)
+    assert len(got) == 2 and all(np.allclose(r.k, np.cos(w @ np.array(r.v) + b) * (2 / 16) ** 0.5, rtol=1e-12) for r in got)
