@@ -92,6 +92,22 @@ def test_vectors_meet_without_a_shuffle_of_copies(spark, monkeypatch):
     assert "hashpartitioning" not in plans[-1]  # the step in which they meet
 
 
+def test_blocks_are_packed_small_and_unchanged(spark, monkeypatch):
+    """As arrays, vectors took nearly as much room in the shuffle as their numbers; blocks come back from their packing bit by bit."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(300)], k=120)) for _ in range(400)]
+    weighted = similarity.weighted_terms(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id", "text").toArrow()
+    packed = similarity._bytes(weighted)
+    assert similarity._of_bytes(packed).select(weighted.column_names).to_pylist() == weighted.to_pylist()
+    assert len(packed) < weighted.nbytes / 4
+    alone = similarity._bytes(weighted.slice(7, 1))
+    assert similarity._of_bytes(alone).select(weighted.column_names).to_pylist() == weighted.slice(7, 1).to_pylist()
+    stored, wide = similarity.settled, []
+    monkeypatch.setattr(similarity, "settled", lambda df, **o: (wide.append(dict(df.dtypes)), stored(df, **o))[1])
+    similarity.near_pairs(stored(spark.createDataFrame(weighted.slice(0, 50))), 0.6)
+    assert [t for t in wide if "low" in t] == [{"block": "bigint", "low": "array<double>", "high": "array<double>", "vectors": "binary"}]
+
+
 def test_vocabulary_from_buckets_is_that_of_all_terms(spark, monkeypatch):
     rng = random.Random(3)
     texts = [" ".join(rng.choices([f"w{k * k}" for k in range(60)], [1 / (k + 1) for k in range(60)], k=25)) for _ in range(120)]
