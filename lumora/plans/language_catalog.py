@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumora.functions import code as C
@@ -112,12 +113,39 @@ def token_semantic(spark, sf_dir):
     return df.select("doc_id", *[c.alias(n) for n, c in L.semantic(F.col("k"), F.col("n")).items()])
 
 
+def counted(values: DataFrame, name: str, size: int, piece: int = 16 << 20, rows: int = 1 << 20) -> DataFrame:
+    """(name, n) of each distinct value of a string column that is made from about `size` bytes, for values that are nearly as many as the rows.
+
+    A plain aggregate holds all values of an input split in a task, and then all of a shuffle partition. Here counts are combined
+    within `rows` rows, and each partition holds what `piece` bytes give, so no task holds more on larger input.
+    """
+
+    def total(held: list[pa.RecordBatch]):
+        sums = pa.Table.from_batches(held).group_by(name, use_threads=False).aggregate([([], "count_all")])
+        return sums.select([name, "count_all"]).rename_columns([name, "n"]).combine_chunks().to_batches(1 << 16)
+
+    def combine(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= rows:
+                yield from total(held)
+                held, n = [], 0
+        if n:
+            yield from total(held)
+
+    parts = values.select(name).mapInArrow(combine, f"`{name}` string, n long").repartition(1 + size // piece, name)
+    return parts.groupBy(name).agg(F.sum("n").alias("n"))
+
+
 @query(WITH_WORDS + rf""", t AS (SELECT regexp_extract_all(code, '{L.NAMES["python"]}') AS n FROM w),
 g AS (SELECT unnest(list_transform(generate_series(1, len(n) - 1), lambda i: n[i] || ' ' || n[i + 1])) AS gram FROM t WHERE len(n) > 1) SELECT gram, count(*) AS n FROM g GROUP BY gram""")
 def token_ngrams(spark, sf_dir):
     df = _code(spark, sf_dir).select(L.tokens(F.col("code"), "identifiers", "python").alias("n")).where("size(n) > 1")
     pairs = F.zip_with(F.slice("n", 1, F.size("n") - 1), F.slice("n", 2, F.size("n")), lambda a, b: F.concat(a, F.lit(" "), b))
-    return df.select(F.explode(pairs).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    size = table(spark, sf_dir, "documents").agg(F.sum(F.octet_length("text"))).head()[0]
+    return counted(df.select(F.explode(pairs).alias("gram")), "gram", size or 0)
 
 
 @query(rf"""WITH t AS (SELECT b.item_id, list_distinct(regexp_extract_all(lower(b.text), '{_LETTER}+')) AS a, list_distinct(regexp_extract_all(lower(d.text), '{_LETTER}+')) AS w FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)
